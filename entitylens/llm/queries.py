@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, token_files, toxicity
+from . import packing, quality, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_token_files": token_files.op4_token_files,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash": simhash.op10_simhash,
