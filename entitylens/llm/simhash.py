@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, connected_components, partitions, written
 
 PIVOTS = 24
+#: Larger groups are searched from linked members outwards, smaller ones many at a time.
+SMALL_GROUP = 128
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, bytes(range(97, 123)))
 #: Shingles that are turned into bits at a time.
@@ -100,6 +102,42 @@ def group_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
+def small_group_links(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of many small groups at once, as rows (a, b), a spanning forest of each group.
+
+    Each row is compared with the s-th after it, for all s below the size of its group:
+    by the pivot table, a column at a time, then by the fingerprints.
+    """
+    rows = np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    left = np.repeat(begins + sizes, sizes) - rows  # rows from this one to the end of its group
+    own, pairs = fps[rows], []
+    table = pivot_table(own).astype(np.int8)
+    for s in range(1, int(sizes.max())):
+        one = np.flatnonzero(left > s)
+        for p in range(PIVOTS):
+            one = one[np.abs(table[one, p] - table[one + s, p]) <= distance]
+            if not len(one):
+                break
+        one = one[np.bitwise_count(own[one] ^ own[one + s]) <= distance]
+        if len(one):
+            pairs.append(np.stack([rows[one], rows[one + s]]))
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    kept = []
+    for a, b in np.concatenate(pairs, axis=1).T.tolist() if pairs else ():
+        if (x := root(a)) != (y := root(b)):
+            above[y] = x
+            kept.append((a, b))
+    a, b = np.array(kept, np.int64).reshape(-1, 2).T
+    return a, b
+
+
 def _partition_links(distance: int):
     def over(batches):
         """Rows come sorted by group; a group may go over several batches."""
@@ -116,14 +154,11 @@ def _partition_links(distance: int):
             else:
                 rest = None
             sizes, found = np.diff(bounds), []
-            two = bounds[:-1][sizes == 2]
-            if len(two):
-                a, b = fps[two], fps[two + 1]
-                gap = np.abs(pivot_table(a).astype(np.int8) - pivot_table(b).astype(np.int8)).max(axis=1)
-                ok = two[gap <= distance]
-                ok = ok[np.bitwise_count(fps[ok] ^ fps[ok + 1]) <= distance]
-                found.append((reps[ok], reps[ok + 1]))
-            for at, n in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
+            small = (sizes > 1) & (sizes <= SMALL_GROUP)
+            if small.any():
+                a, b = small_group_links(fps, bounds[:-1][small], sizes[small], distance)
+                found.append((reps[a], reps[b]))
+            for at, n in zip(bounds[:-1][sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
                 links = group_links(fps[at : at + n], distance)
                 if links:
                     a, b = np.array(links).T
@@ -167,17 +202,41 @@ def links(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
     return dealt.mapInArrow(_partition_links(distance), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, shingle_words: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
-    """doc_id, fp and component_id: the smallest doc_id reachable over links of at most `distance` bits, itself included."""
-    if blocks <= distance:
-        raise ValueError("blocks must be more than distance")
+def simhash_groups(docs: DataFrame, shingle_words: int = 3, distance: int = 3, blocks: int | None = 5) -> DataFrame:
+    """doc_id, fp and component_id: the smallest doc_id reachable over links of at most `distance` bits, itself included.
+
+    blocks: None takes as many as fit the number of fingerprints. It changes the time, not the result.
+    """
+    if blocks is not None and not distance < blocks <= 64:
+        raise ValueError("blocks must be more than distance, and 64 at most")
     fps = written(fingerprints(docs, shingle_words), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    if blocks is None:
+        distinct = written(distinct, "distinct")
+        blocks = blocks_for(distinct.count(), distance)
     found = connected_components(links(distinct, distance, blocks))
     of_fp = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(of_fp, "fp")
 
 
+def blocks_for(n: int, distance: int, most: int = 128) -> int:
+    """The fewest blocks for which `n` fingerprints fall into groups of `most` or fewer on average; more blocks mean more groups for each."""
+    for blocks in range(distance + 1, 64):
+        if n <= most * 2 ** (64 * (blocks - distance) / blocks):
+            return blocks
+    return 64
+
+
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, distance: int = 8) -> DataFrame:
+    """`docs` with all columns, without those whose group has a smaller doc_id.
+
+    Rows of equal doc_id count as one document and stay together; rows without doc_id stay.
+    """
+    found = simhash_groups(docs, shingle_words, distance, None)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
