@@ -33,12 +33,12 @@ from .common import arrow_map
 FIT_ROWS = 12_000
 LEXICON_ENTRIES = 4_000
 #: Lengths of the word beginnings that are learned besides whole words.
-STEMS = (4, 5)
+STEMS = (4, 5, 6)
 SLOPE, PRIOR = 1.4, 0.01
 
 # Tagged words of the grammar, for English, French, German and Spanish.
 FIXED_WORDS = {
-    "insult": "idiot idiots moron morons imbecile imbécile dumbass arschloch pendejo connard",
+    "insult": "idiot idiots moron morons imbecile stupid pathetic worthless loser scum imbécile dumbass arschloch pendejo connard",
     "threat": "kill hurt destroy beat stab shoot tuer frapper töten schlagen matar golpear",
     "target": "you your youre they them he she those these tu vous toi du dich ihr sie usted ustedes ellos",
     "will": "will shall gonna must vais va werde wird voy vamos",
@@ -99,14 +99,17 @@ class Scorer:
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.tags = {w: (_TAG[t], 0.9) for t, ws in FIXED_WORDS.items() for w in ws.split()}
-        self.tags |= {w: (_TAG["insult"], x) for w, x in words.items()}
+        self.tags |= {w: (_TAG["insult"], max(x, self.tags.get(w, (0, 0.0))[1])) for w, x in words.items()}
         self.stems = {n: {s: x for s, x in stems.items() if len(s) == n} for n in STEMS}
         self.marks = {w for w, (t, _) in self.tags.items() if TAGS[t] in ("insult", "threat")}
 
+    def stem_weight(self, word: str) -> float:
+        return max(known.get(word[:n], 0.0) if len(word) >= n else 0.0 for n, known in self.stems.items())
+
     def tag(self, word: str) -> tuple[int, float]:
         if found := self.tags.get(word):
-            return found
-        weight = max(known.get(word[:n], 0.0) if len(word) >= n else 0.0 for n, known in self.stems.items())
+            return found if TAGS[found[0]] != "insult" else (found[0], max(found[1], self.stem_weight(word)))
+        weight = self.stem_weight(word)
         return (_TAG["insult"], weight) if weight else (0, 0.0)
 
     def marked(self, words: set[str]) -> set[str]:
@@ -167,10 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     if rows and rows[0].feature == "*":
         n_bad, n_good = rows[0].bad, rows[0].good
         for r in rows[1:]:
-            odds = math.log((r.bad + 0.5) / (n_bad + 1)) - math.log((r.good + 0.5) / (n_good + 1))
+            # One clean text more than was seen, so that a mark seen a few times counts for little.
+            odds = math.log(r.bad / n_bad) - math.log((r.good + 1) / (n_good + 1))
             if r.bad >= max(5, 0.008 * n_bad) and odds >= 3:
-                weight = min(1.0, 0.5 + odds / 12)
-                (stems if r.feature[-1] == "*" else words)[r.feature.rstrip("*")] = weight
+                (stems if r.feature[-1] == "*" else words)[r.feature.rstrip("*")] = min(1.0, ((odds - 2) / 4) ** 1.5)
     return Scorer(words, stems)
 
 
