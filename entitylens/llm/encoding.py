@@ -11,19 +11,48 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from itertools import islice
 
 import numpy as np
 
-#: Entries that a worker's cache may have (some 200 bytes each). Beyond it the older half, which has the frequent words, stays.
-CACHE_ENTRIES = 900_000
+#: Entries that a worker's cache may have (some 170 bytes each). Beyond it the older half, which has the frequent words, stays.
+CACHE_ENTRIES = 600_000
 
 _CAREFUL_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Byte-level vocabularies write a byte as itself where it prints, else as the next code point from 256 on.
 _PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in _PRINTING)}
-_ENCODERS: dict[str, "WordCachedEncoder"] = {}
+_SPACE_LETTER = chr(_BYTE_LETTERS[32])
+
+
+class PieceCache(dict):
+    """Piece -> its ids as little-endian uint32 bytes. `before` stands before each piece when it is encoded."""
+
+    def __init__(self, owner: "WordCachedEncoder", before: str):
+        super().__init__()
+        self.owner, self.before = owner, before
+        self.letter_before = _SPACE_LETTER if before and not owner.drops_space else ""
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self[piece] = self._encode(piece)
+        return made
+
+    def _encode(self, piece: str) -> bytes:
+        owner = self.owner
+        # Words of Latin letters are neither cut nor normalised (but for case), so the library's model can have them at once.
+        if piece.isalpha():
+            if piece.isascii():
+                return owner.model_ids(self.letter_before + (piece.lower() if owner.lower_case else piece))
+            if max(piece) <= "\xff":
+                low = piece.lower() if owner.lower_case else piece
+                return owner.model_ids(self.letter_before + low.encode().decode("latin-1").translate(_BYTE_LETTERS))
+            return owner.library_ids(self.before + piece)
+        if piece[-1:] in (",", ".") and piece[:-1].isalpha():
+            return self[piece[:-1]] + owner.bare[piece[-1]]
+        head, line_end, tail = piece.partition("\n")
+        if line_end and tail[:1].isalpha() and head and head[-1].isprintable() and head[-1] != " ":
+            return self[head] + owner.bare["\n"] + owner.bare[tail]
+        return owner.library_ids(self.before + piece)
 
 
 class WordCachedEncoder:
@@ -35,80 +64,45 @@ class WordCachedEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.model, self.lower_case = self.library.model, self.library.encode("A", add_special_tokens=False).ids == self.library.encode("a", add_special_tokens=False).ids
+        self.model = self.library.model
+        of = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        self.lower_case, self.drops_space = of("A") == of("a"), of(" ") == []
+        self.id_bytes = [np.uint32(x).tobytes() for x in range(self.library.get_vocab_size() + 1)]
         self.cache_entries = cache_entries
-        self.spaced: dict[str, bytes] = {}  # pieces that follow a space, which is not part of the key
-        self.bare: dict[str, bytes] = {}  # pieces at the start of a text or line, and punctuation
+        self.bare, self.spaced = PieceCache(self, ""), PieceCache(self, " ")
+
+    def model_ids(self, word: str) -> bytes:
+        made = self.id_bytes
+        return b"".join([made[t.id] for t in self.model.tokenize(word)])
+
+    def library_ids(self, piece: str) -> bytes:
+        return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def cut(self, text: str) -> list[str]:
-        """Pieces of the text; one space stood between each two."""
+        """Pieces of the text; one space (or line end, where the vocabulary drops it) stood between each two."""
+        if self.drops_space:
+            if text.isascii() or max(text) <= "\xff":
+                text = text.lower()
+            return text.replace("\n", " ").split(" ")
         return _CAREFUL_CUT.split(text) if "  " in text else text.split(" ")
 
-    def _encode(self, known: dict[str, bytes], wanted, before: str) -> None:
-        """Words of Latin letters, which no rule cuts or normalises, go to the library's model at once; the rest takes all its steps."""
-        rest, tokenize = [], self.model.tokenize
-        for x in wanted:
-            if x in known:
-                continue
-            if x.isalpha() and (x.isascii() or max(x) <= "\xff"):
-                word = (before + x).lower() if self.lower_case else before + x
-                if self.lower_case:
-                    word = word.lstrip(" ")
-                known[x] = array("I", [t.id for t in tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
-            else:
-                rest.append(x)
-        if rest:
-            found = self.library.encode_batch_fast([before + x for x in rest], add_special_tokens=False)
-            known.update(zip(rest, [array("I", x.ids).tobytes() for x in found], strict=True))
-
-    def _learn(self, known: dict[str, bytes], before: str, wanted) -> None:
-        """Fills `known`, putting words with a comma or full stop behind together from their parts."""
-        whole, ended = [], []
-        for x in wanted:
-            if x[-1:] in (",", ".") and x[:-1].isalpha():
-                ended.append(x)
-                whole.append(x[:-1])
-            else:
-                whole.append(x)
-        self._encode(known, whole, before)
-        if ended:
-            self._encode(self.bare, (",", "."), "")
-            for x in ended:
-                known[x] = known[x[:-1]] + self.bare[x[-1]]
-
-    def learn(self, first: set[str], later: set[str]) -> None:
+    def encode(self, text: str | None) -> bytes:
+        first, *rest = self.cut(text or "")
+        return b"".join([self.bare[first], *map(self.spaced.__getitem__, rest)])
+
+    def encode_batch(self, texts: list[str | None], end_id: int | None = None):
+        """Yields the ids of each text (None counts as empty), with `end_id` appended, as little-endian uint32 bytes."""
+        tail = b"" if end_id is None else np.uint32(end_id).tobytes()
         for known in (self.spaced, self.bare):
             if len(known) > self.cache_entries:
-                kept = dict(islice(known.items(), self.cache_entries // 2))
+                kept = list(islice(known.items(), self.cache_entries // 2))
                 known.clear()
                 known.update(kept)
-        new, bare, lines, spaced = [], [x for x in first if x not in self.bare], [], self.spaced
-        for x in later:
-            if x in spaced:
-                continue
-            head, line_end, tail = x.partition("\n")
-            if line_end and head and head[-1].isprintable() and tail and tail[0].isalpha():
-                new.append(head)
-                bare.append(tail)
-                lines.append((x, head, tail))
-            else:
-                new.append(x)
-        self._learn(spaced, " ", new)
-        self._learn(self.bare, "", bare)
-        if lines:
-            self._encode(self.bare, ("\n",), "")
-            for x, head, tail in lines:
-                self.spaced[x] = self.spaced[head] + self.bare["\n"] + self.bare[tail]
+        for text in texts:
+            yield self.encode(text) + tail
 
-    def encode_batch(self, texts: list[str | None], end_id: int | None = None):
-        """Yields the ids of each text (None counts as empty), with `end_id` appended, as little-endian uint32 bytes."""
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for at in range(0, len(texts), 256):
-            cut = [self.cut(x or "") for x in texts[at : at + 256]]
-            self.learn({x[0] for x in cut}, set().union(*[x[1:] for x in cut]))
-            get = self.spaced.__getitem__
-            for first, *rest in cut:
-                yield b"".join([self.bare[first], *map(get, rest), tail])
+
+_ENCODERS: dict[str, WordCachedEncoder] = {}
 
 
 def encoder(path: str) -> WordCachedEncoder:
