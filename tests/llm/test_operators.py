@@ -1,0 +1,400 @@
+"""Each operator against brute force, and on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from entitylens.llm import encoding, mixing, packing, quality, sharding, simhash, span_dedup, suffix_dedup, token_files, topk, toxicity
+
+BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+SCHEMA = "doc_id long, text string, source string, n_chars long, row string, _id int, block string, fp string, epoch int, key string, h long, at string"
+
+
+def words(r, n):
+    return " ".join(r.choice(["alpha", "beta", "gamma", "delté", "ze"]) + str(r.randint(0, 300)) for _ in range(n))
+
+
+def sentences(r, n):
+    return " ".join(words(r, r.randint(4, 12)).capitalize() + "." for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(3)
+    passage = sentences(r, 9)
+    made = [sentences(r, r.randint(3, 14)) for _ in range(40)]
+    made += [f"{words(r, 9)} {passage} {words(r, 9)}" for _ in range(4)]
+    made += [passage, passage, made[0], made[0] + " more", None, "", " ", "\n\n", "a", "ab" * 300, "x" * 100, "It is. It is. It is. " * 60]
+    made += [sentences(r, 2500), "Ünï <|endoftext|> don't  a\n  b\t c 1.5, ÀÉ Σας ΣΑΣ.", "AAA !!! " * 60, "# $ % " * 100]
+    return [(i, t) for i, t in enumerate(made)] + [(5, made[5]), (6, "another text with the id of another one")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, None if i % 7 == 0 else f"s{min(i % 5, 2)}", None, "r", 1, "b", "f", 3, "k", 9, "x") for i, t in texts]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+def rows_of(df):
+    return df.collect()
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_equals_library(texts, path):
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    odd = ["a  b   c", "\n  x y ", "a\t b c", " lead", "x \n y", "a.\n\nb c.", "é́ Σ", "a ", "1.5, 2,000.", "It's we'll", "日本 語, b.", "İI ẞ", "a.b,c .", "x\n,y", "End.\nNext", "tail\n"]
+    values = [t or "" for _, t in texts] + odd
+    small = encoding.WordCachedEncoder(path, cache_entries=50)
+    for text, ids in zip(values, small.encode_batch(values), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    list(small.encode_batch(values))
+    assert np.frombuffer(small.encode("again and again."), "<u4").tolist() == library.encode("again and again.", add_special_tokens=False).ids
+
+
+def test_toxicity(spark, docs, none):
+    bad, good = "zorgle", ["the", "a", "some", "that"]
+    odd = lambda i: " ".join("".join(random.Random(f"{i}{k}").choices("abcdefgh", k=7)) for k in range(9))
+    rows = [(i, f"{good[i % 4]} thing {i} {odd(i)}" + (f" {bad} {bad}x {i}" if i % 3 == 0 else "")) for i in range(200)]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(1, None), (9999, 1)], "doc_id long, toxic int")
+    scorer = toxicity.fit(train, labels)
+    made = {r.doc_id: r for r in rows_of(toxicity.score_documents(train, scorer))}
+    assert all(made[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in rows)
+    held = [i for i, _ in rows if made[i].held_out]
+    assert np.mean([made[i].predicted == (i % 3 == 0) for i in held]) > 0.9
+    s = toxicity.Scorer({}, {})
+    assert s.score("you are an idiot") > s.score("idiot") > s.score("not an idiot") > s.score(None) == s.score("") == pytest.approx(toxicity.PRIOR)
+    assert s.score("they said you idiot") < s.score("you idiot") and s.score("I will kill you") > s.score("kill time")
+    assert s.score("idiot. " * 3) > s.score("idiot.")
+    empty = toxicity.fit(none, labels.where("false"))
+    assert len(rows_of(toxicity.score_documents(docs, empty))) == docs.count() and not rows_of(toxicity.score_documents(none, empty))
+
+
+def test_grammar_is_composed_once():
+    numbers, arcs = toxicity.compose(toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORTED)
+    assert len(arcs) == len(numbers) * len(toxicity.TAGS) and len(numbers) <= 1 * 3 * 4 * 3 * 2
+
+
+def test_topk_equals_brute_force(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 12)).astype(np.float32) * r.exponential(size=(400, 1)).astype(np.float32)
+    x[40:140] = x[7]  # copies
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [1.0, None] + [0.0] * 10), (502, [float("nan")] * 12), (503, [float("inf")] * 12), (550, [1.0, 2.0]), (551, [2.0, 2.0]), (600, [0.0] * 12), (650, [])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, rank int")
+    good = {i: np.floor(np.array(v, float) * 256).astype(np.int64) for i, v in vectors if v and all(c is not None and np.isfinite(c) for c in v)}
+    expected = set()
+    for q, a in good.items():
+        if q % 50 == 0:
+            s = sorted((-int(a @ b), i) for i, b in good.items() if i != q and len(a) == len(b))[:5]
+            expected |= {(q, n, i, -v) for n, (v, i) in enumerate(s, 1)}
+    assert {tuple(x) for x in rows_of(topk.top_inner_products(df))} == expected
+    assert not rows_of(topk.top_inner_products(df.where("false")))
+
+
+def test_topk_prunes():
+    r = np.random.default_rng(1)
+    q, c = (r.normal(size=(n, 16)) @ np.diag(2.0 ** -np.arange(16)) * 900 for n in (20, 3000))
+    q, c = q.astype(np.int64), c.astype(np.int64)
+    turn = np.linalg.eigh((c.T @ c).astype(float))[1][:, ::-1]
+    scores = q @ c.T
+    threshold = np.partition(scores, -5, axis=1)[:, -5].astype(float)
+    (row, vec, found), share = topk.block_best(np.arange(20), q, np.arange(3000) + 100, c, threshold, turn, 5)
+    assert share < 0.3 and all(scores[a, b - 100] == s for a, b, s in zip(row, vec, found, strict=True)) and len(row) >= 100
+
+
+def test_mixing(spark, docs, none, texts, tmp_path):
+    con = duckdb.connect()
+    frame = docs.select("doc_id", "text", "source").toPandas()
+    con.register("documents", frame)
+    got = sorted((tuple(str(v) for v in r) for r in mixing.mix(docs).select("doc_id", "source", "tokens", "epoch", "block", "position").collect()))
+    want = sorted(tuple(str(v) for v in r) for r in con.execute(f"SELECT doc_id, source, tokens, epoch, block, position FROM ({mixing.ORACLE})").fetchall())
+    # Rows of equal doc_id may change places in a stream.
+    assert Counter(r[:4] for r in got) == Counter(r[:4] for r in want)
+    once = mixing.mixed_documents(docs, budget_share=0.8, entropy_share=None, max_repeat=1.0)
+    assert once.columns == docs.columns and once.count() <= docs.count() and once.count() > 0
+    flat = spark.createDataFrame([(i, " ".join(["w"] * 10), "big" if i < 90 else "small") for i in range(100)], "doc_id long, text string, source string")
+    n = Counter(r.source for r in rows_of(mixing.mix(flat, entropy_share=1.0, max_repeat=3.0)))
+    assert n["small"] == 30 and 60 <= n["big"] <= 70  # three epochs at most
+    assert not rows_of(mixing.mix(none)) and not rows_of(mixing.mix(docs.where("text IS NULL")))
+
+
+def test_token_files_round_trip(spark, docs, none, texts, tmp_path):
+    for kind in ("dictionary", "delta"):
+        path = str(tmp_path / kind)
+        token_files.write_token_files(docs, path, BYTE, end_id=2, row_group_bytes=1 << 16, page_rows=10, ids_encoding=kind)
+        found = sorted(rows_of(token_files.token_digests(token_files.read_token_files(spark, path))), key=lambda r: r.start)
+        library = Tokenizer.from_file(BYTE)
+        library.encode_special_tokens = True
+        start, seen = 0, Counter()
+        for r in found:
+            assert r.start == start
+            start += r.n_tokens
+            seen[r.doc_id, r.ids_crc32] += 1
+        assert [r.doc_id for r in found] == sorted(i for i, _ in texts)
+        assert seen == Counter((i, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in texts)
+        meta = token_files.read_token_files(spark, path).select("doc_id", "start")
+        assert "ids" not in meta._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    token_files.write_token_files(none, str(tmp_path / "none"), BYTE, end_id=2)
+    assert not rows_of(token_files.token_digests(token_files.read_token_files(spark, str(tmp_path / "none"))))
+
+
+def _sharding_holds(rows, n):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert sum(map(len, by.values())) == n
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    sizes = [len(by.get(s, ())) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1
+
+
+def test_sharding(spark, docs, none, texts):
+    made = rows_of(sharding.balanced_shards(docs))
+    _sharding_holds(made, len(texts))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in made) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts)
+    r = random.Random(1)
+    groups = [f"text {r.randint(0, 60)}" for _ in range(600)] + ["hot"] * 400 + [f"single {i}" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(groups)), "doc_id long, text string")
+    made = rows_of(sharding.balanced_shards(df))
+    _sharding_holds(made, len(groups))
+    shards = defaultdict(Counter)
+    for x in made:
+        shards[groups[x.doc_id]][x.shard] += 1
+    whole = [len(c) == 1 for t, c in shards.items() if t.startswith("text")]
+    assert np.mean(whole) > 0.9  # small groups stay together
+    assert len(shards["hot"]) <= 4  # 400 of 1600 need two shards of 200 at least
+    all_linked = spark.createDataFrame([(i, f"t{i % 40}") for i in range(400)], "doc_id long, text string")
+    _sharding_holds(rows_of(sharding.balanced_shards(all_linked)), 400)
+    assert not rows_of(sharding.balanced_shards(none))
+
+
+def _suffix_brute(texts):
+    seen, out = set(), []
+    for i, t in sorted(texts, key=lambda x: (x[0], x[1] or "")):
+        b = (t or "").encode()
+        mark = bytearray(len(b))
+        for k in range(len(b) - 99):
+            w = b[k : k + 100]
+            if w in seen:
+                mark[k : k + 100] = b"\1" * 100
+            seen.add(w)
+        spans = sum(1 for k in range(len(b)) if mark[k] and not (k and mark[k - 1]))
+        out.append((i, len(b), sum(mark), spans, hashlib.sha256(bytes(x for x, m in zip(b, mark, strict=True) if not m)).hexdigest()))
+    return Counter(out)
+
+
+def test_suffix_dedup_equals_brute_force(docs, none, texts):
+    assert Counter(tuple(r) for r in rows_of(suffix_dedup.remove_repeats(docs))) == _suffix_brute(texts)
+    assert not rows_of(suffix_dedup.remove_repeats(none))
+
+
+def test_suffix_dedup_bytes(spark):
+    r = random.Random(8)
+    base = bytes(r.choice(b"abc") for _ in range(3000)).decode()
+    some = [(i, base[(a := r.randint(0, 2500)) : a + r.randint(0, 500)] + str(i) + base[(a := r.randint(0, 2500)) : a + 150]) for i in range(60)]
+    some += [(100, "\0" * 250), (101, "\0" * 120 + "\1" * 100), (102, "x" * 99), (103, "x" * 100), (104, "é" * 120)]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    assert Counter(tuple(x) for x in rows_of(suffix_dedup.remove_repeats(df))) == _suffix_brute(some)
+
+
+def test_loser_tree_gives_order_and_prefixes():
+    r = random.Random(1)
+    for _ in range(60):
+        runs = []
+        for _ in range(r.randint(1, 9)):
+            s = sorted((bytes(r.choice(b"ab") for _ in range(100)) if r.random() < 0.5 else b"a" * r.randint(90, 99) + b"b").ljust(100, b"z") for _ in range(r.randint(0, 15)))
+            runs.append((s, [0, *[suffix_dedup.common_prefix(a, b, 0) for a, b in zip(s, s[1:], strict=False)]] if s else []))
+        at, got = [0] * len(runs), []
+        for run, prefix in suffix_dedup.merge_runs(runs):
+            got.append((runs[run][0][at[run]], prefix))
+            at[run] += 1
+        want = sorted(x for s, _ in runs for x in s)
+        assert [x for x, _ in got] == want
+        assert [p for _, p in got[1:]] == [suffix_dedup.common_prefix(a, b, 0) for a, b in zip(want, want[1:], strict=False)]
+
+
+def _span_brute(texts):
+    first, found, distinct = {}, [], dict.fromkeys(texts)
+    key = lambda i, t: (i, t or "")
+    occurrences = defaultdict(list)
+    for i, t in distinct:
+        parts = [(t or "")[a:b] for a, b in span_dedup.sentences(t or "")]
+        split = [p.split() for p in parts]
+        for a, b in span_dedup.spans(list(map(len, split))):
+            occurrences[" ".join(w for s in split[a:b] for w in s)].append((i, key(i, t), a, b))
+    del first, found
+    return occurrences
+
+
+def test_sentence_spans(docs, none, texts):
+    made = rows_of(span_dedup.cut_documents(docs))
+    by_text = defaultdict(set)
+    for r in made:
+        by_text[r.row.doc_id, r.row.text].add((r._new, r._removed))
+    assert all(len(x) == 1 for x in by_text.values()) and len(made) == len(texts)
+    unique = {i: t for i, t in texts if i not in (5, 6)}
+    gone = defaultdict(set)
+    for places in _span_brute([(i, t) for i, t in unique.items()]).values():
+        for i, _, a, b in sorted(places)[1:]:
+            gone[i].update(range(a, b))
+    for i, t in unique.items():
+        parts = span_dedup.sentences(t or "")
+        expected = "".join(t[a:b] for n, (a, b) in enumerate(parts) if n not in gone[i]) if gone[i] else t
+        ((new, removed),) = by_text[i, t]
+        assert (new, removed) == (expected, len(gone[i]))
+    assert by_text[45, unique[45]] == {("", len(span_dedup.sentences(unique[45])))}
+    kept = span_dedup.remove_repeated_sentences(docs)
+    assert kept.columns == docs.columns and all(r.text is None or r.text.split() or not (unique.get(r.doc_id) or "").split() for r in rows_of(kept))
+    assert not rows_of(span_dedup.cut_documents(none))
+
+
+def test_sentences_cover_the_text(texts):
+    for _, t in texts:
+        parts = span_dedup.sentences(t or "")
+        assert "".join((t or "")[a:b] for a, b in parts) == (t or "")
+
+
+def test_packing(spark, docs, none, texts):
+    library = Tokenizer.from_file(WORD)
+    library.encode_special_tokens = True
+    want = Counter()
+    for i, t in texts:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        for n, k in enumerate(range(0, len(ids), 512)):
+            part = ids[k : k + 512]
+            want[i, n, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    rows = rows_of(packing.pack_documents(docs, WORD, size=512))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for s in by.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(by) <= 1.15 * sum(r.length for r in rows) / 512 + 1
+    assert not rows_of(packing.pack_documents(none, WORD))
+
+
+def test_best_fit_takes_the_tightest_and_closes_the_fullest():
+    p = packing.BestFit(10, 2)
+    assert [p.put(x) for x in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
+    q = packing.BestFit(10, 2)
+    for x in (6, 7, 8):
+        q.put(x)
+    assert q.closed == {2} and q.put(2) == (1, 7)
+
+
+def test_quality(spark, docs, none, texts):
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    got = Counter(tuple(r) for r in rows_of(quality.judge(docs).drop("rejected_by")))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    frame = docs.select("doc_id", "text").dropDuplicates(["doc_id"]).toPandas()
+    con.register("documents", frame)
+    want = Counter(con.execute(f"SELECT {', '.join(names)} FROM ({quality.ORACLE})").fetchall())
+    assert not want - got and sum(got.values()) == len(texts)
+    kept = quality.filter_documents(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(n for r, n in got.items() if r[-1])
+    assert not rows_of(quality.judge(none)) and not rows_of(quality.filter_documents(none))
+
+
+def test_quality_order_changes_no_verdict(texts):
+    values = [t for _, t in texts]
+    order = quality.order_rules(values)
+    assert sorted(order) == sorted(quality.RULES)
+    for t in values:
+        x = quality.Text(t)
+        assert any(quality.RULES[n](x) for n in order) == any(f(x) for f in quality.RULES.values())
+
+
+@pytest.mark.parametrize(("value", "n"), [("a b c a b c", 6), ("a b c d", 0), ("a a a a", 4), ("x a b c y a b c a b c", 9), ("", 0), ("a b", 0)])
+def test_repeat_words(value, n):
+    assert quality.repeat_words(value.encode().split()) == n
+
+
+def _fingerprint_brute(t, k=3):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    w = [x for x in low.encode().split() if x]
+    if not w:
+        return 0
+    k = min(k, len(w))
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(len(w) - k + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _components(fps, distance):
+    above = {i: i for i in fps}
+    for i in fps:
+        for j in fps:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= distance:
+                a, b = above[i], above[j]
+                for x in above:
+                    if above[x] == b or above[x] == a:
+                        above[x] = min(a, b)
+    return above
+
+
+def test_simhash_equals_brute_force(spark, docs, none, texts):
+    rows = rows_of(simhash.simhash_groups(docs))
+    assert Counter((r.doc_id, r.fp % 2**64) for r in rows) == Counter((i, _fingerprint_brute(t)) for i, t in texts)
+    unique = {i: _fingerprint_brute(t) for i, t in texts if i not in (5, 6)}
+    r = random.Random(4)
+    near = [0] * 3 + [sum(1 << b for b in r.sample(range(64), r.randint(1, 4))) for _ in range(400)] + [r.getrandbits(64) for _ in range(300)]
+    df = spark.createDataFrame([(v - 2**64 if v >> 63 else v, i) for i, v in enumerate(dict.fromkeys(near))], "fp long, rep long")
+    fps = {i: v for i, v in enumerate(dict.fromkeys(near))}
+    for distance, blocks in ((3, 5), (3, 8), (1, 3)):
+        from entitylens.llm.common import connected_components
+
+        found = {x.node: x.component for x in rows_of(connected_components(simhash.links(df, distance, blocks)))}
+        assert {i: found.get(i, i) for i in fps} == _components(fps, distance)
+    assert unique and not rows_of(simhash.simhash_groups(none))
+
+
+def test_large_groups_are_searched_outwards():
+    r = np.random.default_rng(2)
+    fps = np.unique(np.uint64(5) ^ (np.uint64(1) << r.integers(0, 64, 900).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 900).astype(np.uint64)))
+    links = simhash.group_links(fps, 3)
+    a, b = simhash.small_group_links(fps[:100], np.array([0]), np.array([100]), 3)
+    assert all(int(fps[x] ^ fps[y]).bit_count() <= 3 for x, y in [*links, *zip(a, b, strict=True)])
+    joined = _components(dict(enumerate(map(int, fps[:100]))), 3)
+    assert len(a) == 100 - len(set(joined.values())) and len(links) == len(fps) - len(set(_components(dict(enumerate(map(int, fps))), 3).values()))
+
+
+def test_one_of_each_group(spark, docs, none):
+    kept = simhash.one_of_each_group(docs)
+    ids = Counter(r.doc_id for r in rows_of(kept))
+    assert kept.columns == docs.columns and 0 in ids and 46 not in ids and not rows_of(simhash.one_of_each_group(none))
+    unknown = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c")], "doc_id long, text string")
+    assert simhash.one_of_each_group(unknown).count() == 3
+
+
+@pytest.mark.parametrize(("n", "distance"), [(10, 3), (10**6, 3), (10**9, 8), (1, 0)])
+def test_blocks_for(n, distance):
+    blocks = simhash.blocks_for(n, distance)
+    assert distance < blocks <= 64 and (n <= 128 * 2 ** (64 * (blocks - distance) / blocks) or blocks == 64)
+
+
+def test_nulls_in_doc_id(spark):
+    df = spark.createDataFrame([(None, "one two three. " * 20, None), (None, None, "s"), (1, "", "s")], "doc_id long, text string, source string")
+    for f in (quality.judge, simhash.simhash_groups, sharding.balanced_shards, suffix_dedup.remove_repeats, span_dedup.cut_documents, mixing.mix):
+        assert len(rows_of(f(df))) >= 1
+    assert len(rows_of(packing.pack_documents(df, WORD))) == 3
+    assert df.select(F.count("*")).first()[0] == 3
