@@ -25,7 +25,7 @@ from .common import bucket, running_sums, written
 
 KEY = ["text_hash", "text_crc32", "size"]
 #: Rounds of label propagation at most; it ends earlier once nothing moves.
-ROUNDS = 6
+ROUNDS = 10
 BUCKETS = 1024
 #: A key of more documents than this share of a shard is dealt over several units.
 UNIT_SHARE = 1 / 16
@@ -42,14 +42,15 @@ def _cases(values: list, of: Column, default) -> Column:
     return reduce(lambda made, x: made.when(of == x[0], F.lit(x[1])), enumerate(values), F.when(F.lit(False), F.lit(default))).otherwise(F.lit(default))
 
 
-def propagate(units: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Moves units (KEY, chunk, home, n) towards their neighbours; adds `shard`."""
+def propagate(units: DataFrame, quotas: list[int], unit: int = 1, rounds: int = ROUNDS) -> DataFrame:
+    """Moves units (KEY, chunk, home, n) towards their neighbours; adds `shard`. A shard with room for less than `unit` documents counts as full."""
     shards = len(quotas)
     units = units.withColumn("shard", F.col("home"))
-    for _ in range(rounds):
+    still = 0
+    for number in range(rounds):
         # Eight numbers each: what stands in the shards, and what would go from one to another.
         loads = {r.shard: r.n for r in units.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = [max(0, quotas[s] - loads.get(s, 0)) for s in range(shards)]
+        room = [x if (x := quotas[s] - loads.get(s, 0)) >= unit else 0 for s in range(shards)]
         counts = units.groupBy(*KEY).agg(*[F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)).alias(f"c{s}") for s in range(shards)])
         # Most neighbours first; a key's own order of shards breaks ties, so that its units agree.
         order = F.array(*[F.struct(F.col(f"c{s}").alias("c"), F.xxhash64(*KEY, F.lit(s)).alias("h"), F.lit(s).alias("s")) for s in range(shards)])
@@ -60,11 +61,16 @@ def propagate(units: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
         # The best shard if it has room or can exchange, else the best with room that is better than the own.
         seen = seen.withColumn("first", F.col("best")[0]["s"]).withColumn("second", F.coalesce(with_room, F.col("shard")))
         wanted = {(r.shard, r.first): r.n for r in seen.where("first <> shard").groupBy("shard", "first").agg(F.sum("n").alias("n")).collect()}
-        target = F.when(_pair_case({p: wanted.get((p[1], p[0]), 0) > 0 or room[p[1]] > 0 for p in wanted}, F.col("shard"), F.col("first"), False), F.col("first")).otherwise(F.col("second"))
+        # Every other round leaves exchanges with full shards out: what cannot get in there gathers in the next best one.
+        swaps = number % 2 == 0
+        target = F.when(_pair_case({p: swaps and wanted.get((p[1], p[0]), 0) > 0 or room[p[1]] > 0 for p in wanted}, F.col("shard"), F.col("first"), False), F.col("first")).otherwise(F.col("second"))
         moves = seen.withColumn("to", target).where("to <> shard").drop("best", "first", "second")
         flows = {(r.shard, r.to): r.n for r in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
-        if not flows:
+        still = 0 if flows else still + 1
+        if still == 2:
             break
+        if not flows:
+            continue
         allowed = _allowances(flows, room)
         ranked = running_sums(moves.withColumn("at", bucket(F.struct(*KEY), BUCKETS)), ["shard", "to"], "at", [*KEY, "chunk", "home"], F.col("n"), "before")
         taken = ranked.where(F.col("before") + F.col("n") <= _pair_case(allowed, F.col("shard"), F.col("to"), 0)).select(*KEY, "chunk", "home", "to")
@@ -80,13 +86,13 @@ def _pair_case(values: dict, a: Column, b: Column, default) -> Column:
 
 
 def _allowances(flows: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
-    """Documents that may go from one shard to another: as many as come back, and a share of the room there."""
-    out = {}
-    for (a, b), n in flows.items():
+    """Documents that may go from one shard to another: as many as come back, and, for the largest flows first, what there is room for."""
+    out, left = {}, list(room)
+    for (a, b), n in sorted(flows.items(), key=lambda x: (-x[1], x[0])):
         swap = min(n, flows.get((b, a), 0))
-        extra = {p: m - min(m, flows.get((p[1], p[0]), 0)) for p, m in flows.items() if p[1] == b}
-        total = sum(extra.values())
-        out[a, b] = swap + (extra[a, b] * min(room[b], total) // total if total else 0)
+        extra = min(n - swap, left[b])
+        left[b] -= extra
+        out[a, b] = swap + extra
     return out
 
 
@@ -104,7 +110,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     seen = written(seen, "linked")
     linked = seen.where("chunk IS NOT NULL")
     units = written(linked.groupBy(*KEY, "chunk", "home").agg(F.count("*").alias("n")), "units")
-    settled = propagate(units, quotas)
+    settled = propagate(units, quotas, most)
     placed = linked.join(settled.select(*KEY, "chunk", "home", "shard"), [*KEY, "chunk", "home"])
     # Documents of one key stand close together in the order of a shard, a large key in several buckets.
     near = F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)) * 16 + F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(16))

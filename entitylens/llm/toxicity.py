@@ -9,7 +9,7 @@ clause it stands in, not by itself.
 
 The insult lexicon is learned: words and word beginnings that mark labelled toxic texts.
 It is fitted on at most `fit_rows` labelled rows, chosen by a hash of doc_id, of which texts
-that share their two least word hashes (copies and near copies) count once.
+that share the two least hashes of their longer words (copies and near copies) count once.
 
 Null, empty and wordless texts get the prior score. Very long texts are read whole. Equal
 doc_ids keep a row each. Without usable labels only the fixed lexicon works. Other columns
@@ -156,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
         sketch, texts = [], []
         for value in batch.column("text"):
             words = set(_WORD.findall((value.as_py() or "").lower()))
-            least = sorted(xxhash.xxh64_intdigest(w) for w in words)[:2]
-            sketch.append(" ".join(map(str, least)))
+            least = sorted(xxhash.xxh64_intdigest(w) for w in words if len(w) > 5)[:2]
+            sketch.append(" ".join(map(str, least)) or " ".join(sorted(words)))
             texts.append(sorted(words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketch, pa.string()), batch.column("toxic"), pa.array(texts, pa.list_(pa.string()))], ["doc_id", "sketch", "toxic", "features"])
 
