@@ -132,22 +132,30 @@ def _count_anchors(ranges: int):
 
 
 def _repeated_anchors(batches):
-    """Of each hash range: for each block, its hashes that occur twice or more."""
-    held = defaultdict(list)
-    for batch in batches:
-        for at, h, code in zip(*(batch.column(x).to_pylist() for x in ("range", "hashes", "blocks")), strict=True):
-            held[at].append((np.frombuffer(h, np.uint64), np.frombuffer(code, np.int32)))
-    for at in list(held):
-        h, code = (np.concatenate(x) for x in zip(*held.pop(at), strict=True))
+    """Of each hash range: for each block, its hashes that occur twice or more. Rows come sorted by range."""
+
+    def repeated(held):
+        h, code = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(h, kind="stable")
         h, code = h[order], code[order]
         same = h[1:] == h[:-1]
-        twice = (np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (code >= _MANY)) if len(h) else np.zeros(0, bool)
+        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (code >= _MANY)
         h, block = h[twice], code[twice] & (_MANY - 1)
         order = np.argsort(block, kind="stable")
         h, block = h[order], block[order]
         parts = _slices(block)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parts], pa.int32()), pa.array([np.unique(h[a:b]).tobytes() for _, a, b in parts], pa.binary())], ["block", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parts], pa.int32()), pa.array([np.unique(h[a:b]).tobytes() for _, a, b in parts], pa.binary())], ["block", "hashes"])
+
+    now, held = None, []
+    for batch in batches:
+        for at, h, code in zip(*(batch.column(x).to_pylist() for x in ("range", "hashes", "blocks")), strict=True):
+            if at != now and held:
+                yield repeated(held)
+                held = []
+            now = at
+            held.append((np.frombuffer(h, np.uint64), np.frombuffer(code, np.int32)))
+    if held:
+        yield repeated(held)
 
 
 def _block_rows(table: pa.Table):
@@ -186,13 +194,13 @@ def _sorted_runs(ranges: int):
 def _runs(raw, offsets, ids, rank, at, low, high, h, ranges, block):
     """Front-coded sorted runs by hash range, and spans (row, begin, end) settled within the block."""
     row = np.searchsorted(offsets, low, "right") - 1
-    begin, end = offsets[row], offsets[row + 1]
+    begin = offsets[row]
     padded = np.concatenate([np.zeros(LEFT, np.uint8), raw, np.zeros(WINDOW, np.uint8)])
     seen = np.lib.stride_tricks.sliding_window_view(padded, LEFT + WINDOW)[at]
     to_left, to_right = seen[:, :LEFT][:, ::-1].copy(), seen[:, LEFT:].copy()
-    # Bytes of other documents count as zero: no window of this anchor reaches them.
-    to_left[np.arange(LEFT)[None, :] >= (at - begin)[:, None]] = 0
-    to_right[np.arange(WINDOW)[None, :] >= (end - at)[:, None]] = 0
+    # Bytes that no window of this anchor reaches, in its document or beyond, count as zero.
+    to_left[np.arange(LEFT)[None, :] >= (at - low)[:, None]] = 0
+    to_right[np.arange(WINDOW)[None, :] >= (high + WINDOW - at)[:, None]] = 0
     least, most = (at - high).astype(np.uint8), (at - low).astype(np.uint8)
     full = np.concatenate([to_right, to_left, least[:, None], most[:, None]], axis=1)
     keys = np.ascontiguousarray(full).view(f"V{full.shape[1]}").ravel()
@@ -210,7 +218,7 @@ def _runs(raw, offsets, ids, rank, at, low, high, h, ranges, block):
         differs = right[1:] != right[:-1]
         common = np.concatenate([[0], np.where(differs.any(axis=1), differs.argmax(axis=1), WINDOW)]).astype(np.uint8)
         rest = right[np.arange(WINDOW)[None, :] >= common[:, None]]
-        runs.append((p, (block, common, rest.tobytes(), to_left[own], ids[row[own]], rank[row[own]].astype(np.int32), row[own].astype(np.int32), at[own] - begin[own], least[own], most[own])))
+        runs.append((p, (block, common, rest.tobytes(), to_left[own], ids[row[own]], rank[row[own]].astype(np.int32), row[own].astype(np.int32), (at[own] - begin[own]).astype(np.int32), least[own], most[own])))
     return runs, covered
 
 
@@ -304,33 +312,41 @@ def covered_windows(common, to_left, ids, rank, at, least, most):
     return low, high
 
 
+def _range_spans(runs: list[tuple], passed: dict) -> None:
+    """Merges the runs of one hash range; adds spans (row, begin, end) of covered windows to `passed`, by block."""
+    strings = [(decoded(r[1], r[2]), r[1].tolist()) for r in runs]
+    order, common, starts = [], [], np.cumsum([0, *[len(r[1]) for r in runs]]).tolist()
+    for run, prefix in merge_runs(strings):
+        order.append(starts[run])
+        starts[run] += 1
+        common.append(prefix)
+    del strings
+    to_left, ids, rank, row, at, least, most = (np.concatenate([r[i] for r in runs])[order] for i in range(3, 10))
+    at = at.astype(np.int64)
+    blocks = np.repeat([r[0] for r in runs], [len(r[1]) for r in runs])[order]
+    low, high = covered_windows(np.array(common), to_left, ids, rank, at, least, most)
+    hit = np.flatnonzero(low <= high)
+    hit = hit[np.argsort(blocks[hit], kind="stable")]
+    for block, a, b in _slices(blocks[hit]):
+        own = hit[a:b]
+        passed[block].append((row[own].astype(np.int64), at[own] - high[own], at[own] - low[own].astype(np.int64) + WINDOW))
+
+
 def _merged_spans(batches):
-    """Of each hash range: spans (block, row, begin, end) of covered windows."""
-    held, passed = defaultdict(list), defaultdict(list)
+    """Rows come sorted by hash range; only the runs of one range are held at a time."""
+    now, runs, passed = None, [], defaultdict(list)
     for batch in batches:
-        for p, run in zip(batch.column("range").to_pylist(), batch.column("run").to_pylist(), strict=True):
-            run = pickle.loads(run)
+        for p, run in zip(batch.column("range").to_pylist(), batch.column("run"), strict=True):
+            if p != now and runs:
+                _range_spans(runs, passed)
+                runs = []
+            now, run = p, pickle.loads(run.as_buffer())
             if len(run) == 2:
                 passed[run[0]].append(run[1])
             else:
-                held[p].append(run)
-    for p in list(held):
-        runs = held.pop(p)
-        strings = [(decoded(r[1], r[2]), r[1].tolist()) for r in runs]
-        order, common, starts = [], [], np.cumsum([0, *[len(r[1]) for r in runs]]).tolist()
-        for run, prefix in merge_runs(strings):
-            order.append(starts[run])
-            starts[run] += 1
-            common.append(prefix)
-        del strings
-        to_left, ids, rank, row, at, least, most = (np.concatenate([r[i] for r in runs])[order] for i in range(3, 10))
-        blocks = np.repeat([r[0] for r in runs], [len(r[1]) for r in runs])[order]
-        low, high = covered_windows(np.array(common), to_left, ids, rank, at, least, most)
-        hit = np.flatnonzero(low <= high)
-        hit = hit[np.argsort(blocks[hit], kind="stable")]
-        for block, a, b in _slices(blocks[hit]):
-            own = hit[a:b]
-            passed[block].append((row[own].astype(np.int64), at[own] - high[own], at[own] - low[own].astype(np.int64) + WINDOW))
+                runs.append(run)
+    if runs:
+        _range_spans(runs, passed)
     blocks = list(passed)
     yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([pickle.dumps([tuple(np.concatenate(x).astype(np.int64) for x in zip(*passed[b], strict=True))], 5) for b in blocks], pa.binary())], ["block", "spans"])
 
@@ -383,12 +399,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Counts and the sha256 of what is left of each text; `with_text` adds its bytes as `kept`."""
     spark = docs.sparkSession
     n = partitions(spark)
-    blocks = 8 * n
+    blocks = ranges = 8 * n
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", bucket(F.coalesce("doc_id", F.lit(0)), blocks))
-    counted = rows.select("block", "text").mapInArrow(_count_anchors(n), "range int, hashes binary, blocks binary")
-    repeated = counted.repartition(n, "range").mapInArrow(_repeated_anchors, "block int, hashes binary")
-    runs = rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_sorted_runs(n), "range int, run binary")
-    spans = runs.repartition(n, "range").mapInArrow(_merged_spans, "block int, spans binary")
+    counted = rows.select("block", "text").mapInArrow(_count_anchors(ranges), "range int, hashes binary, blocks binary")
+    repeated = counted.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_repeated_anchors, "block int, hashes binary")
+    runs = rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_sorted_runs(ranges), "range int, run binary")
+    spans = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_merged_spans, "block int, spans binary")
     return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut_texts(with_text), RESULT + ", kept binary" * with_text)
 
 
