@@ -118,11 +118,15 @@ def order_rules(texts: list[str | None], rules: dict[str, Callable[[Text], bool]
 
 
 def sample_texts(docs: DataFrame, n: int = SAMPLE_DOCUMENTS) -> list[str | None]:
-    """At most `n` texts of up to 100,000 characters, by a hash of doc_id; only the order of rules hangs on them."""
-    few = docs.where(F.length("text") <= 100_000).select("text", F.xxhash64("doc_id").alias("h"), "doc_id")
-    some = few.where(F.pmod("h", F.lit(1024)) < 64)
-    found = [r.text for r in some.orderBy("h", "doc_id").limit(n).collect()]
-    return found or [r.text for r in few.orderBy("h", "doc_id").limit(n).collect()]
+    """At most `n` texts of up to 100,000 characters, of the documents with the least hashes of doc_id; only the order of rules hangs on them.
+
+    The least hashes are found without texts, so that tasks send numbers only.
+    """
+    h = F.xxhash64("doc_id")
+    least = docs.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("h")).first().h
+    if least is None:
+        return []
+    return [r.text for r in docs.where((h <= least) & (F.length("text") <= 100_000)).select("text").limit(n).collect()]
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
