@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each group of near copies (five-word shingles) the smallest doc_id stays."""
-    return one_of_each_group(docs, shingle_words=5, distance=8)
+    """Operator 10: of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    return one_of_each_group(docs, shingle_words=3, distance=8, similarity_words=5, least_similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,21 +31,35 @@ PIVOTS = 24
 SMALL_GROUP = 128
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, bytes(range(97, 123)))
+SKETCH_BITS = 256
+_MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles that are turned into bits at a time.
 _SLICE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle_words: int) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def shingle_hashes(words: list[bytes], shingle_words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of all words if they are fewer than a shingle has."""
     k = min(shingle_words, len(words))
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     view = memoryview(joined)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths) - 1
     starts = (ends - lengths + 1).tolist()
-    hashes = np.fromiter((digest(view[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(view[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: str | None, shingle_words: int) -> int:
+    return majority(words_of(text), shingle_words)
+
+
+def majority(words: list[bytes], shingle_words: int) -> int:
+    if not words:
+        return 0
+    hashes = shingle_hashes(words, shingle_words)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _SLICE):
         counts += np.unpackbits(hashes[at : at + _SLICE].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -53,14 +67,28 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a long."""
+def sketch(words: list[bytes], shingle_words: int) -> bytes:
+    """One bit of each of SKETCH_BITS minimum hashes of the shingles: two sketches agree in (1 + Jaccard similarity) / 2 of their bits, on average."""
+    if not words:
+        return bytes(SKETCH_BITS // 8)
+    hashes, least = np.unique(shingle_hashes(words, shingle_words)), np.full(SKETCH_BITS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[at : at + 512, None] * _MULTIPLIERS[None, :]).min(axis=0))
+    return np.packbits((least >> np.uint64(20)).astype(np.uint8) & 1).tobytes()
+
+
+def fingerprints(docs: DataFrame, shingle_words: int = 3, similarity_words: int | None = None) -> DataFrame:
+    """(doc_id, fp, sketch): fp is the fingerprint's 64 bits as a long; the sketch is empty unless similarity_words is given."""
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [fingerprint(x.as_py(), shingle_words) for x in batch.column("text")]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
+        made, sketches = [], []
+        for x in batch.column("text"):
+            words = words_of(x.as_py())
+            made.append(majority(words, shingle_words))
+            sketches.append(sketch(words, similarity_words) if similarity_words else b"")
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "fp", "sketch"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batch_of, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batch_of, "doc_id long, fp long, sketch binary")
 
 
 def pivots() -> np.ndarray:
@@ -73,17 +101,30 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ p) for p in pivots()], axis=1)
 
 
-def _linked(fps: np.ndarray, table: np.ndarray, one, others: np.ndarray, distance: int) -> np.ndarray:
+def most_differing(least_similarity: float) -> int:
+    """Sketch bits that may differ at a similarity, one standard deviation of the estimate allowed for."""
+    p = (1 - least_similarity) / 2
+    return int(SKETCH_BITS * p + (SKETCH_BITS * p * (1 - p)) ** 0.5)
+
+
+def _similar(sketches: np.ndarray | None, a, b, most: int) -> np.ndarray:
+    if sketches is None:
+        return np.ones(np.broadcast(a, b).shape, bool)
+    return np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=-1, dtype=np.int64) <= most
+
+
+def _linked(fps: np.ndarray, table: np.ndarray, one, others: np.ndarray, distance: int, sketches: np.ndarray | None = None, most: int = 0) -> np.ndarray:
     """Those of `others` within `distance` of `one`: first by the pivot table, column for column, then by the fingerprints."""
     for p in range(0, PIVOTS, 6):
         gap = np.abs(table[others, p : p + 6].astype(np.int8) - table[one, p : p + 6].astype(np.int8))
         others = others[gap.max(axis=1) <= distance]
         if not len(others):
             return others
-    return others[np.bitwise_count(fps[others] ^ fps[one]) <= distance]
+    others = others[np.bitwise_count(fps[others] ^ fps[one]) <= distance]
+    return others[_similar(sketches, others, one, most)]
 
 
-def group_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def group_links(fps: np.ndarray, distance: int, sketches: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
     """A spanning forest of the links within a group of distinct fingerprints."""
     table, left, links = pivot_table(fps), np.arange(len(fps)), []
     # Sorted by the first pivot's distance, what can link stands in a band.
@@ -94,7 +135,7 @@ def group_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
             one = front.pop()
             d = int(table[one, 0])
             lo, hi = np.searchsorted(table[left, 0], [max(0, d - distance), d + distance + 1])
-            near = _linked(fps, table, one, left[lo:hi], distance)
+            near = _linked(fps, table, one, left[lo:hi], distance, sketches, most)
             if len(near):
                 links.extend((int(one), int(x)) for x in near)
                 front.extend(near.tolist())
@@ -102,7 +143,7 @@ def group_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def small_group_links(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def small_group_links(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, distance: int, sketches: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links of many small groups at once, as rows (a, b), a spanning forest of each group.
 
     Each row is compared with the s-th after it, for all s below the size of its group:
@@ -119,6 +160,7 @@ def small_group_links(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, di
             if not len(one):
                 break
         one = one[np.bitwise_count(own[one] ^ own[one + s]) <= distance]
+        one = one[_similar(sketches, rows[one], rows[one + s], most)]
         if len(one):
             pairs.append(np.stack([rows[one], rows[one + s]]))
     above: dict[int, int] = {}
@@ -138,28 +180,35 @@ def small_group_links(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, di
     return a, b
 
 
-def _partition_links(distance: int):
+def _sketch_rows(column: pa.Array, most: int | None) -> np.ndarray:
+    if most is None or not len(column):
+        return np.zeros((len(column), SKETCH_BITS // 64 if most is not None else 0), np.uint64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _partition_links(distance: int, most: int | None = None):
     def over(batches):
         """Rows come sorted by group; a group may go over several batches."""
         held = []
 
         def flush(rows, final):
-            keys, fps, reps = (np.concatenate([r[i] for r in rows]) for i in range(3))
+            keys, fps, reps, sk = (np.concatenate([r[i] for r in rows]) for i in range(4))
+            sketches = None if most is None else sk
             cut = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
             bounds = np.concatenate([[0], cut, [len(keys)]])
             if not final:
                 keep = bounds[-2]
-                rest = (keys[keep:], fps[keep:], reps[keep:])
+                rest = (keys[keep:], fps[keep:], reps[keep:], sk[keep:])
                 bounds = bounds[:-1]
             else:
                 rest = None
             sizes, found = np.diff(bounds), []
             small = (sizes > 1) & (sizes <= SMALL_GROUP)
             if small.any():
-                a, b = small_group_links(fps, bounds[:-1][small], sizes[small], distance)
+                a, b = small_group_links(fps, bounds[:-1][small], sizes[small], distance, sketches, most or 0)
                 found.append((reps[a], reps[b]))
             for at, n in zip(bounds[:-1][sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
-                links = group_links(fps[at : at + n], distance)
+                links = group_links(fps[at : at + n], distance, None if sketches is None else sketches[at : at + n], most or 0)
                 if links:
                     a, b = np.array(links).T
                     found.append((reps[at + a], reps[at + b]))
@@ -172,7 +221,7 @@ def _partition_links(distance: int):
         waiting = 0
         for batch in batches:
             keys = np.stack([batch.column("band").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("key").to_numpy(zero_copy_only=False)], axis=1)
-            held.append((keys, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("rep").to_numpy(zero_copy_only=False)))
+            held.append((keys, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("rep").to_numpy(zero_copy_only=False), _sketch_rows(batch.column("sketch"), most)))
             waiting += batch.num_rows
             if waiting >= 100_000:
                 found, rest = flush(held, False)
@@ -189,34 +238,38 @@ def _block_masks(blocks: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def links(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """Edges (a, b) between representatives of `distinct` (fp, rep), which connect what is within `distance`."""
+def links(distinct: DataFrame, distance: int, blocks: int, least_similarity: float | None = None) -> DataFrame:
+    """Edges (a, b) between representatives of `distinct` (fp, rep, sketch), which connect what is within `distance`.
+
+    least_similarity: links need it too, as the sketches estimate it.
+    """
     masks = _block_masks(blocks)
     keys = []
     for band, kept in enumerate(combinations(masks, blocks - distance)):
         mask = sum(kept)
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(band).alias("band"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
-    dealt = distinct.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", "k.band", "k.key")
+    dealt = distinct.select("fp", "rep", "sketch", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", "sketch", "k.band", "k.key")
     dealt = dealt.repartition(partitions(distinct.sparkSession), "band", "key").sortWithinPartitions("band", "key", "rep")
-    return dealt.mapInArrow(_partition_links(distance), "a long, b long")
+    return dealt.mapInArrow(_partition_links(distance, None if least_similarity is None else most_differing(least_similarity)), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, shingle_words: int = 3, distance: int = 3, blocks: int | None = 5) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle_words: int = 3, distance: int = 3, blocks: int | None = 5, similarity_words: int | None = None, least_similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id reachable over links of at most `distance` bits, itself included.
 
     blocks: None takes as many as fit the number of fingerprints. It changes the time, not the result.
+    least_similarity: links need this Jaccard similarity of shingles of `similarity_words` words besides, as estimated by sketches.
     """
     if blocks is not None and not distance < blocks <= 64:
         raise ValueError("blocks must be more than distance, and 64 at most")
-    fps = written(fingerprints(docs, shingle_words), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    fps = written(fingerprints(docs, shingle_words, similarity_words), "fingerprints")
+    distinct = fps.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"))
     if blocks is None:
         distinct = written(distinct, "distinct")
         blocks = blocks_for(distinct.count(), distance)
-    found = connected_components(links(distinct, distance, blocks))
-    of_fp = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of_fp, "fp")
+    found = connected_components(links(distinct, distance, blocks, least_similarity))
+    of_fp = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(of_fp, ["fp", "sketch"]).drop("sketch")
 
 
 def blocks_for(n: int, distance: int, most: int = 128) -> int:
@@ -227,12 +280,15 @@ def blocks_for(n: int, distance: int, most: int = 128) -> int:
     return 64
 
 
-def one_of_each_group(docs: DataFrame, shingle_words: int = 5, distance: int = 8) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle_words: int = 3, distance: int = 8, similarity_words: int = 5, least_similarity: float = 0.8) -> DataFrame:
     """`docs` with all columns, without those whose group has a smaller doc_id.
 
+    Fingerprints of short shingles, which an edit changes less, bring near copies together;
+    the similarity of longer shingles decides.
+
     Rows of equal doc_id count as one document and stay together; rows without doc_id stay.
     """
-    found = simhash_groups(docs, shingle_words, distance, None)
+    found = simhash_groups(docs, shingle_words, distance, None, similarity_words, least_similarity)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
 

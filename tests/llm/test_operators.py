@@ -358,7 +358,7 @@ def test_simhash_equals_brute_force(spark, docs, none, texts):
     unique = {i: _fingerprint_brute(t) for i, t in texts if i not in (5, 6)}
     r = random.Random(4)
     near = [0] * 3 + [sum(1 << b for b in r.sample(range(64), r.randint(1, 4))) for _ in range(400)] + [r.getrandbits(64) for _ in range(300)]
-    df = spark.createDataFrame([(v - 2**64 if v >> 63 else v, i) for i, v in enumerate(dict.fromkeys(near))], "fp long, rep long")
+    df = spark.createDataFrame([(v - 2**64 if v >> 63 else v, i, b"") for i, v in enumerate(dict.fromkeys(near))], "fp long, rep long, sketch binary")
     fps = {i: v for i, v in enumerate(dict.fromkeys(near))}
     for distance, blocks in ((3, 5), (3, 8), (1, 3)):
         from entitylens.llm.common import connected_components
@@ -378,6 +378,36 @@ def test_large_groups_are_searched_outwards():
     assert len(a) == 100 - len(set(joined.values())) and len(links) == len(fps) - len(set(_components(dict(enumerate(map(int, fps))), 3).values()))
 
 
+def test_sketches_estimate_similarity():
+    r = random.Random(6)
+    base = words(r, 400).encode().split()
+    for edits in (0, 4, 15, 60, 400):
+        other = list(base)
+        for at in r.sample(range(400), edits):
+            other[at] = b"edit%d" % r.randint(0, 10**6)
+        a, b = ({tuple(x[i : i + 5]) for i in range(396)} for x in (base, other))
+        x, y = (int.from_bytes(simhash.sketch(w, 5)) for w in (base, other))
+        assert abs(1 - 2 * (x ^ y).bit_count() / 256 - len(a & b) / len(a | b)) < 0.2
+    assert simhash.sketch([], 5) == bytes(32) and simhash.most_differing(1.0) == 0 < simhash.most_differing(0.8) < 40
+
+
+def test_near_copies_go_and_others_stay(spark):
+    r = random.Random(9)
+    rows = []
+    for g in range(30):
+        base = words(r, 250).split()
+        rows.append((g * 10, " ".join(base)))
+        for c in range(1, 4):
+            other = list(base)
+            for at in r.sample(range(250), c):
+                other[at] = f"edit{r.randint(0, 10**6)}"
+            rows.append((g * 10 + c, " ".join(other)))
+        rows.append((g * 10 + 9, " ".join(base[:100]) + words(r, 150)))
+    kept = {x.doc_id for x in rows_of(simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert all(g * 10 in kept and g * 10 + 9 in kept for g in range(30))
+    assert len([1 for g in range(30) for c in (1, 2, 3) if g * 10 + c in kept]) <= 4
+
+
 def test_one_of_each_group(spark, docs, none):
     kept = simhash.one_of_each_group(docs)
     ids = Counter(r.doc_id for r in rows_of(kept))
