@@ -46,3 +46,8 @@ def span_label(first: Column, last: Column) -> Column:
 def active_quarter(today: Column, begin: Column, end: Column, deadline: Column) -> Column:
     """In its window, or behind it and not past its deadline."""
     return F.coalesce(today.between(begin, end) | ((end < today) & (F.coalesce(deadline, F.lit("")) != "") & (today <= deadline)), F.lit(False))
+
+
+def now_iso() -> Column:
+    """Now in UTC to the second; keep it out of rows that are compared."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -71,6 +71,21 @@ def first_filings(filings: DataFrame, presentation: str = r"investor\s*presentat
     return filings.groupBy("code").agg(least(presentation).alias("presentation_date"), least(transcript).alias("transcript_date")).where("presentation_date IS NOT NULL OR transcript_date IS NOT NULL")
 
 
+def eligibility(universe: DataFrame, filings: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(symbol, transcript_since, presentation_since): a transcript page counts before a filing (TRK2).
+
+    universe: symbol, code. filings: code, presentation_date, transcript_date. transcripts: symbol, first_day.
+    """
+    made = universe.select("symbol", "code").join(filings, "code", "left").join(transcripts, "symbol", "left")
+    made = made.select("symbol", F.coalesce("first_day", "transcript_date").alias("transcript_since"), F.col("presentation_date").alias("presentation_since"))
+    return made.where("transcript_since IS NOT NULL OR presentation_since IS NOT NULL")
+
+
+def unmatched(names: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Names that no layer resolves, a queue for people to look at."""
+    return names.select("name").distinct().join(resolved.select("name"), "name", "left_anti")
+
+
 def first_in_window(events: DataFrame, key: str, day: str, begin: str, end: str) -> DataFrame:
     return events.where(F.col(day).between(begin, end)).groupBy(key).agg(F.min(day).alias("first_day"))
 

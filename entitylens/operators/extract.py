@@ -301,6 +301,16 @@ def parse_story_posts(pages: DataFrame) -> DataFrame:
     return made.withColumn("text", F.trim("text")).withColumn("word_count", text.word_count(F.col("text")))
 
 
+def story_rows(posts: DataFrame, default_title: str = "Story") -> DataFrame:
+    """posts (url, title, date, stories) -> a row for each story with text; missing titles and ids are made up from what there is (JSN1)."""
+    rows = posts.select("url", F.col("title").alias("post_title"), F.col("date").alias("story_date"), F.inline("stories"))
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(F.trim("post_title"), F.lit("")), F.lit(default_title))
+    rows = rows.withColumn("story_title", title)
+    made_up = text.slugify(F.concat_ws("-", "url", F.coalesce("position", F.lit(0)).cast("string"), "story_title"))
+    rows = rows.withColumn("story_id", F.coalesce(F.nullif(F.trim("story_id"), F.lit("")), made_up))
+    return rows.where(F.coalesce(F.trim("text"), F.lit("")) != "").select("url", "post_title", "story_date", "story_id", "story_title", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("source", F.lit("")).alias("source"), F.trim("text").alias("text"))
+
+
 # Editions of the coverage feeds (DOC17), transcripts (DOC6)
 
 

@@ -378,6 +378,45 @@ def q58(spark, d):
     return serve.company_pages(c, q, editions(spark, d))
 
 
+_q30 = scalars.SQL["q30_cascade_lookup"]
+
+
+@query("q59_unmatched_names", _q30[: _q30.rindex("SELECT name, arg_min")] + "SELECT name FROM n WHERE name NOT IN (SELECT name FROM h)")
+def q59(spark, d):
+    aliases = spark.createDataFrame([("brand red", "S1"), ("brand lost", "S-9")], "alias string, symbol string")
+    acronyms = spark.createDataFrame([("RW", "Red Widget Works")], "acronym string, full_name string")
+    return coverage.unmatched(_lookups(spark, d), coverage.resolve_symbols(_lookups(spark, d), _universe(spark, d), aliases, acronyms))
+
+
+@query("q60_covered_editions", "SELECT l_partkey AS company_id, l_orderkey AS edition_id FROM lineitem WHERE l_returnflag = 'A' UNION SELECT l_partkey, l_orderkey FROM lineitem WHERE l_linestatus = 'F'")
+def q60(spark, d):
+    l = table(spark, d, "lineitem")
+    of = lambda cond: l.where(cond).select(F.col("l_partkey").alias("company_id"), F.col("l_orderkey").alias("edition_id"))
+    return of("l_returnflag = 'A'").union(of("l_linestatus = 'F'")).distinct()
+
+
+@query("q61_script_json", "SELECT p_partkey AS slug, replace('{\"slug\":' || p_partkey || ',\"name\":\"' || p_name || '</b>\"}', '</', '<\\/') AS json FROM part")
+def q61(spark, d):
+    one = F.struct(F.col("p_partkey").alias("slug"), F.concat("p_name", F.lit("</b>")).alias("name"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("slug"), serve.script_json(one).alias("json"))
+
+
+@query("q62_story_rows", "WITH s AS (SELECT doc_id, source, lang, n_chars, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x, i: {t: trim(x), i: i}), lambda z: z.t <> '')) AS z FROM documents) SELECT source || '/' || doc_id AS url, CASE WHEN z.i % 2 = 0 THEN 'Line ' || z.i ELSE lang END AS story_title, z.i::INTEGER AS position, md5(z.t) AS text FROM s")
+def q62(spark, d):
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("").alias("story_id"), F.when((i + 1) % 2 == 0, F.concat(F.lit("Line "), (i + 1).cast("string"))).alias("title"), (i + 1).cast("int").alias("position"), F.lit("").alias("source"), x.alias("text")))
+    posts = table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("url"), F.col("lang").alias("title"), F.lit("").alias("date"), line.alias("stories"))
+    return X.story_rows(posts).select("url", "story_title", "position", F.md5("text").alias("text"))
+
+
+@query("q63_eligibility", "WITH f AS (SELECT user_id AS code, min(ts::DATE) FILTER (event_type = 'view') AS p, min(ts::DATE) FILTER (event_type = 'purchase') AS t FROM events GROUP BY 1 HAVING p IS NOT NULL OR t IS NOT NULL), w AS (SELECT user_id AS symbol, min(ts::DATE) AS first_day FROM events WHERE event_type = 'error' AND ts::DATE BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY 1) SELECT c_custkey AS symbol, coalesce(first_day, t) AS transcript_since, p AS presentation_since FROM customer LEFT JOIN f ON f.code = c_custkey LEFT JOIN w ON w.symbol = c_custkey WHERE coalesce(first_day, t, p) IS NOT NULL")
+def q63(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("day"))
+    filings = coverage.first_filings(e.select(F.col("user_id").alias("code"), F.col("event_type").alias("category"), "day"), "view", "purchase")
+    pages = coverage.first_in_window(e.where("event_type = 'error'").withColumnRenamed("user_id", "symbol"), "symbol", "day", "2024-01-05", "2024-01-20")
+    u = table(spark, d, "customer").select(F.col("c_custkey").alias("symbol"), F.col("c_custkey").alias("code"))
+    return coverage.eligibility(u, filings, pages)
+
+
 def all_queries():
     return dict(scalars.QUERIES), dict(scalars.SQL)
 

@@ -259,3 +259,18 @@ def test_stream_upsert(spark, tmp_path):
         spark.createDataFrame(batch, "url string, lastmod int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream.upsert_batches(stream.stream_table(spark, str(tmp_path / "in"), "url string, lastmod int"), str(tmp_path / "out"), "url", "lastmod", str(tmp_path / "check")).awaitTermination()
         assert sorted(rows(spark.read.parquet(str(tmp_path / f"out/v{n}")))) == [[("a", 1), ("b", 1)], [("a", 2), ("b", 1)]][n]
+
+
+def test_story_rows_fill_gaps(spark):
+    posts = spark.createDataFrame([("u", "Post", "2026-01-01", [("", "", 1, None, " text "), ("id", "Title", 2, "h1", "more"), ("x", "y", 3, "", " ")]), ("v", "", "", None)], "url string, title string, date string, stories array<struct<story_id:string,title:string,position:int,source:string,text:string>>")
+    got = sorted(rows(extract.story_rows(posts).select("story_id", "story_title", "position", "source", "text")))
+    assert got == [("id", "Title", 2, "h1", "more"), ("u-1-post", "Post", 1, "", "text")]
+
+
+def test_eligibility_and_unmatched(spark):
+    u = spark.createDataFrame([("A", "1"), ("B", "2"), ("C", "3")], "symbol string, code string")
+    f = spark.createDataFrame([("1", "p", "t"), ("2", None, "t")], "code string, presentation_date string, transcript_date string")
+    t = spark.createDataFrame([("A", "s")], "symbol string, first_day string")
+    assert sorted(rows(coverage.eligibility(u, f, t))) == [("A", "s", "p"), ("B", "t", None)]
+    names = spark.createDataFrame([("x",), ("y",), ("y",)], "name string")
+    assert rows(coverage.unmatched(names, names.where("name = 'x'"))) == [("y",)]
