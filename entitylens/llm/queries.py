@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_exact_topk": topk.ORACLE,
     "op3_temperature_mix": mixing.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op9_quality_rules": quality.ORACLE,
 }

@@ -410,3 +410,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every window against every other one; for small tables.
+ORACLE = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+w AS (SELECT doc_id, i, raw[i + 1:i + 100] AS k FROM (SELECT doc_id, raw, unnest(generate_series(0, octet_length(raw) - 100)) AS i FROM b)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM d),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g) GROUP BY doc_id, island),
+r AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM s UNION ALL SELECT doc_id, max(z), 9223372036854775806 FROM s GROUP BY doc_id),
+h AS (SELECT k.doc_id, string_agg(CASE WHEN y > x AND octet_length(raw) > x THEN hex(raw[x + 1:least(y, octet_length(raw))]) ELSE '' END, '' ORDER BY x) AS kept FROM k JOIN b ON b.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT b.doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN h.kept IS NULL THEN sha256(raw) ELSE sha256(unhex(h.kept)) END AS kept_sha256
+FROM b LEFT JOIN r ON r.doc_id = b.doc_id LEFT JOIN h ON h.doc_id = b.doc_id
+"""
