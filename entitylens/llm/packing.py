@@ -30,11 +30,13 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFram
     """Encodes whole texts and cuts those longer than `size` ids into pieces; a digest stands for the ids."""
 
     def cut(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, 1000):
-            some, out = batch.slice(at, 1000), ([], [], [], [], [])
-            for doc, ids in zip(some.column("doc_id").to_pylist(), encoder(vocabulary).encode_batch(some.column("text").to_pylist(), end_id), strict=True):
-                for n, k in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[k : k + 4 * size]
+        for at in range(0, batch.num_rows, 2000):
+            some, out = batch.slice(at, 2000), ([], [], [], [], [])
+            flat, offsets = encoder(vocabulary).encode_column(some.column("text"), end_id)
+            view, at4 = memoryview(flat).cast("B"), (4 * offsets).tolist()
+            for doc, begin, end in zip(some.column("doc_id").to_pylist(), at4[:-1], at4[1:], strict=True):
+                for n, k in enumerate(range(0, end - begin, 4 * size)):
+                    part = view[begin + k : min(begin + k + 4 * size, end)]
                     for column, x in zip(out, (doc, n, k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

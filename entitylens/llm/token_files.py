@@ -11,11 +11,12 @@ to each other; an empty table gives files without rows. Other columns are left o
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, new_path, partitions
@@ -24,6 +25,29 @@ from .encoding import encoder
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
+def range_bounds(rows: DataFrame, column: str, n: int) -> list[int]:
+    """Some n - 1 ascending values that cut the column into ranges of about equal counts; the scan reads this column only."""
+    if n < 2:
+        return []
+    found = rows.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 100 * n).alias("x")).first().x
+    return sorted(set(found or []))
+
+
+def range_number(column: str, bounds: list[int]) -> Column:
+    """How many bounds are not above the value: found among every r-th bound first, then among r, with r the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    r = math.isqrt(len(bounds)) + 1
+    chunks = [bounds[at : at + r] for at in range(0, len(bounds), r)]
+
+    def reached(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b <= F.col(column)))
+
+    chunk = reached(F.array(*[F.lit(c[0]) for c in chunks]))
+    inside = reached(F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in chunks]), F.greatest(chunk, F.lit(1))))
+    return F.when(chunk > 0, (chunk - 1) * r + inside).otherwise(F.lit(0)).cast("int")
+
+
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, row_group_bytes: int = 16 << 20, page_rows: int = 500, ids_encoding: str = "dictionary") -> None:
     """Encodes `docs` (doc_id, text) and writes them to `path` in ascending doc_id order, file by file.
 
@@ -34,16 +58,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     def encode(batches):
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                made = list(encoder(vocabulary).encode_batch(some.column("text").to_pylist(), end_id))
-                sizes = np.array([len(x) // 4 for x in made], np.int64)
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), "<i4")))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(made), part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), ids], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                flat, offsets = encoder(vocabulary).encode_column(some.column("text"), end_id)
+                sizes, ends = np.diff(offsets), offsets[1:]
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.full(len(sizes), part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), ids], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
                 start += int(ends[-1])
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    n = partitions(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = rows.repartitionById(n, range_number("doc_id", range_bounds(rows, "doc_id", n))).sortWithinPartitions("doc_id")
     writer = dealt.mapInArrow(encode, FILE_SCHEMA).write
     for k, v in {
         "parquet.writer.version": "PARQUET_2_0",
@@ -54,6 +79,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         "parquet.enable.dictionary#start_in_part": "false",
         "parquet.enable.dictionary#ids.list.element": str(ids_encoding == "dictionary").lower(),
         "compression": "zstd",
+        "parquet.compression.codec.zstd.level": 1,
     }.items():
         writer = writer.option(k, v)
     writer.parquet(path)

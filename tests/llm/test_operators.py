@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -60,10 +61,14 @@ def test_encoder_equals_library(texts, path):
     odd = ["a  b   c", "\n  x y ", "a\t b c", " lead", "x \n y", "a.\n\nb c.", "é́ Σ", "a ", "1.5, 2,000.", "It's we'll", "日本 語, b.", "İI ẞ", "a.b,c .", "x\n,y", "End.\nNext", "tail\n"]
     values = [t or "" for _, t in texts] + odd
     small = encoding.WordCachedEncoder(path, cache_entries=50)
-    for text, ids in zip(values, small.encode_batch(values), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
-    list(small.encode_batch(values))
-    assert np.frombuffer(small.encode("again and again."), "<u4").tolist() == library.encode("again and again.", add_special_tokens=False).ids
+    for _ in range(2):
+        ids, at = small.encode_column(pa.array([*values, None]), 7)
+        for text, a, b in zip([*values, ""], at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 7], text
+        assert at[-1] == len(ids)
+    for text in values:
+        assert np.frombuffer(small.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert [len(x) for x in small.encode_column(pa.array([], pa.string()), 7)] == [0, 1]
 
 
 def test_toxicity(spark, docs, none):
@@ -153,6 +158,14 @@ def test_token_files_round_trip(spark, docs, none, texts, tmp_path):
     assert not rows_of(token_files.token_digests(token_files.read_token_files(spark, str(tmp_path / "none"))))
 
 
+def test_ranges(spark):
+    df = spark.createDataFrame([(i * i,) for i in range(-200, 500)] + [(None,)], "doc_id long")
+    for n in (1, 2, 7, 40):
+        bounds = token_files.range_bounds(df, "doc_id", n)
+        found = rows_of(df.select("doc_id", token_files.range_number("doc_id", bounds).alias("n")))
+        assert all(r.n == (0 if r.doc_id is None else sum(b <= r.doc_id for b in bounds)) for r in found)
+
+
 def _sharding_holds(rows, n):
     by = defaultdict(list)
     for r in rows:
