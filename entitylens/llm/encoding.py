@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries that a worker's cache may have (some 170 bytes each). Beyond it the older half, which has the frequent words, stays.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 
 _CAREFUL_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Byte-level vocabularies write a byte as itself where it prints, else as the next code point from 256 on.

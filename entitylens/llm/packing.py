@@ -30,8 +30,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFram
     """Encodes whole texts and cuts those longer than `size` ids into pieces; a digest stands for the ids."""
 
     def cut(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, 2000):
-            some, out = batch.slice(at, 2000), ([], [], [], [], [])
+        for at in range(0, batch.num_rows, 1200):
+            some, out = batch.slice(at, 1200), ([], [], [], [], [])
             flat, offsets = encoder(vocabulary).encode_column(some.column("text"), end_id)
             view, at4 = memoryview(flat).cast("B"), (4 * offsets).tolist()
             for doc, begin, end in zip(some.column("doc_id").to_pylist(), at4[:-1], at4[1:], strict=True):

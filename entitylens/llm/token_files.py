@@ -58,8 +58,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     def encode(batches):
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1200):
+                some = batch.slice(at, 1200)
                 flat, offsets = encoder(vocabulary).encode_column(some.column("text"), end_id)
                 sizes, ends = np.diff(offsets), offsets[1:]
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int32)))
