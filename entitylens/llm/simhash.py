@@ -9,6 +9,8 @@ distances to some pivot differ by more than `distance` is discarded (triangle in
 and the survivors are verified by their own distance. A group yields a spanning forest of
 its links, never all pairs: in a large group, members are searched from linked ones
 outwards, and those already linked are not compared again. Links then make components.
+Where a similarity is asked for too, short sketches of minimum hashes travel with the
+fingerprints, and survivors are verified by them as well.
 
 Null and empty texts have no words: fingerprint zero, linked like any other. Very long texts
 are taken whole, in slices. Equal doc_ids keep a row each. Other columns are left out.
