@@ -65,8 +65,29 @@ def spans(counts: list[int], min_sentences: int = MIN_SENTENCES, min_words: int
     return out
 
 
-def _span_hashes(ranges: int, min_sentences: int, min_words: int):
-    """By batch: spans by hash range as (hash, doc_id, key, first, behind)."""
+def _again(h, ids, keys, first) -> tuple[np.ndarray, np.ndarray]:
+    """Order by hash and place, and where in it an occurrence stands that is not the first of its hash."""
+    order = np.lexsort((first, keys, ids, h))
+    h, ids, keys, first = h[order], ids[order], keys[order], first[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    # Rows equal in id and text are one document.
+    return order, (ids != ids[lead]) | (keys != keys[lead]) | (first != first[lead])
+
+
+def _by_block(columns: list[np.ndarray], blocks: int):
+    """(block, columns) of spans (ids, keys, first, behind), by the block of their document."""
+    block = columns[1] % blocks
+    order = np.argsort(block, kind="stable")
+    columns = [c[order] for c in columns]
+    return [(b, tuple(c[x:y] for c in columns)) for b, x, y in _slices(block[order])]
+
+
+def _span_hashes(ranges: int, blocks: int, min_sentences: int, min_words: int):
+    """By batch: of each hash the first occurrence, by hash range; what repeats within the batch is covered for certain and only passes on.
+
+    So a span that stands in very many documents comes to its range once from each batch.
+    """
 
     def over(batches):
         for batch in batches:
@@ -86,44 +107,47 @@ def _span_hashes(ranges: int, min_sentences: int, min_words: int):
                         behind.append(b)
                 if not hashes:
                     continue
-                h = np.array(hashes, np.uint64)
-                order = np.argsort(h)
-                h, rows = h[order], np.array(rows)[order]
+                h, rows, first, behind = np.array(hashes, np.uint64), np.array(rows), np.array(first, np.int32), np.array(behind, np.int32)
                 ids, keys = some.column("doc_id").fill_null(-(2**63)).to_numpy()[rows], some.column("key").to_numpy()[rows]
-                first, behind = np.array(first, np.int32)[order], np.array(behind, np.int32)[order]
+                order, again = _again(h, ids, keys, first)
+                covered = order[again]
+                made = [(b % ranges, (b, x)) for b, x in _by_block([x[covered] for x in (ids, keys, first, behind)], blocks)]
+                order = order[~again]
+                h, ids, keys, first, behind = (x[order] for x in (h, ids, keys, first, behind))
                 number = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-                cut = np.searchsorted(number, np.arange(ranges + 1))
-                made = [(p, tuple(x[a:b] for x in (h, ids, keys, first, behind))) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+                made += [(p, tuple(x[a:b] for x in (h, ids, keys, first, behind))) for p, a, b in _slices(number)]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([pickle.dumps(x, 5) for _, x in made], pa.binary())], ["range", "spans"])
 
     return over
 
 
 def _repeated(blocks: int):
-    """Of each hash range: the occurrences that are not the first, by the block of their document."""
+    """Of each hash range, one at a time: the occurrences that are not the first, by the block of their document. Rows come sorted by range."""
+
+    def settle(held, found):
+        h, ids, keys, first, behind = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        twice = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        h, ids, keys, first, behind = (x[twice] for x in (h, ids, keys, first, behind))
+        order, again = _again(h, ids, keys, first)
+        for b, x in _by_block([c[order[again]] for c in (ids, keys, first, behind)], blocks):
+            found[b].append(x)
 
     def over(batches):
-        held, found = defaultdict(list), defaultdict(list)
+        now, held, found = None, [], defaultdict(list)
         for batch in batches:
-            for p, x in zip(batch.column("range").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                held[p].append(pickle.loads(x))
-        for p in list(held):
-            h, ids, keys, first, behind = (np.concatenate(x) for x in zip(*held.pop(p), strict=True))
-            # Only hashes that occur twice need an order.
-            order = np.argsort(h)
-            same = h[order[1:]] == h[order[:-1]]
-            twice = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-            h, ids, keys, first, behind = (x[twice] for x in (h, ids, keys, first, behind))
-            order = np.lexsort((first, keys, ids, h))
-            h, ids, keys, first, behind = (x[order] for x in (h, ids, keys, first, behind))
-            new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            again = np.flatnonzero((ids != ids[lead]) | (keys != keys[lead]) | (first != first[lead]))
-            block = keys[again] % blocks
-            again = again[np.argsort(block, kind="stable")]
-            block = keys[again] % blocks
-            for b, x, y in _slices(block):
-                found[b].append(tuple(v[again[x:y]] for v in (ids, keys, first, behind)))
+            for p, x in zip(batch.column("range").to_pylist(), batch.column("spans"), strict=True):
+                if p != now and held:
+                    settle(held, found)
+                    held = []
+                now, x = p, pickle.loads(x.as_buffer())
+                if len(x) == 2:
+                    found[x[0]].append(x[1])
+                else:
+                    held.append(x)
+        if held:
+            settle(held, found)
         numbers = list(found)
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([pickle.dumps(tuple(np.concatenate(x) for x in zip(*found[b], strict=True)), 5) for b in numbers], pa.binary())], ["_block", "_spans"])
 
@@ -155,11 +179,11 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
 def cut_documents(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """row (all columns of `docs`), _new (the text that is left), _n and _removed (sentences in all, and removed)."""
     n = partitions(docs.sparkSession)
-    blocks = 8 * n
+    blocks = ranges = 8 * n
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31 - 1)).cast("int")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id"), key.alias("_key"), F.col("text").alias("_text"), F.pmod(key, F.lit(blocks)).cast("int").alias("_block"))
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text").mapInArrow(_span_hashes(n, min_sentences, min_words), "range int, spans binary")
-    repeated = hashed.repartition(n, "range").mapInArrow(_repeated(blocks), "_block int, _spans binary")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text").mapInArrow(_span_hashes(ranges, blocks, min_sentences, min_words), "range int, spans binary")
+    repeated = hashed.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_repeated(blocks), "_block int, _spans binary")
     schema = T.StructType([keyed.schema["row"], T.StructField("_new", T.StringType()), T.StructField("_n", T.LongType()), T.StructField("_removed", T.LongType())])
     return keyed.groupBy("_block").cogroup(repeated.groupBy("_block")).applyInArrow(_cut, schema)
 
