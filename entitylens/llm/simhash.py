@@ -9,8 +9,12 @@ distances to some pivot differ by more than `distance` is discarded (triangle in
 and the survivors are verified by their own distance. A group yields a spanning forest of
 its links, never all pairs: in a large group, members are searched from linked ones
 outwards, and those already linked are not compared again. Links then make components.
-Where a similarity is asked for too, short sketches of minimum hashes travel with the
-fingerprints, and survivors are verified by them as well.
+
+Near-dedup asks for a Jaccard similarity of longer shingles. Short sketches of minimum hashes
+travel with the fingerprints and discard pairs that are far below it, with four standard
+deviations of slack; the links that are left are verified by the whole shingle sets of their
+texts. Where that splits what the sketches held together, all its pairs across the parts that
+the sketches allow are verified too.
 
 Null and empty texts have no words: fingerprint zero, linked like any other. Very long texts
 are taken whole, in slices. Equal doc_ids keep a row each. Other columns are left out.
@@ -34,6 +38,8 @@ SMALL_GROUP = 128
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, bytes(range(97, 123)))
 SKETCH_BITS = 256
+#: Standard deviations of slack of the sketches, which only discard.
+DEVIATIONS = 4.0
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles that are turned into bits at a time.
 _SLICE = 1 << 16
@@ -71,26 +77,55 @@ def majority(words: list[bytes], shingle_words: int) -> int:
 
 def sketch(words: list[bytes], shingle_words: int) -> bytes:
     """One bit of each of SKETCH_BITS minimum hashes of the shingles: two sketches agree in (1 + Jaccard similarity) / 2 of their bits, on average."""
-    if not words:
-        return bytes(SKETCH_BITS // 8)
-    hashes, least = np.unique(shingle_hashes(words, shingle_words)), np.full(SKETCH_BITS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 512):
-        least = np.minimum(least, (hashes[at : at + 512, None] * _MULTIPLIERS[None, :]).min(axis=0))
+    return _bits(minima(shingle_set(words, shingle_words)))
+
+
+def shingle_set(words: list[bytes], shingle_words: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    return np.unique(shingle_hashes(words, shingle_words)) if words else np.zeros(0, np.uint64)
+
+
+def set_key(shingles: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set."""
+    key = xxhash.xxh64_intdigest(shingles.tobytes(), 7)
+    return key - (1 << 64) if key >> 63 else key
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    least = np.full(SKETCH_BITS, 2**64 - 1 if len(shingles) else 0, np.uint64)
+    for at in range(0, len(shingles), 512):
+        least = np.minimum(least, (shingles[at : at + 512, None] * _MULTIPLIERS[None, :]).min(axis=0))
+    return least
+
+
+def _bits(least: np.ndarray) -> bytes:
     return np.packbits((least >> np.uint64(20)).astype(np.uint8) & 1).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, similarity_words: int | None = None) -> DataFrame:
-    """(doc_id, fp, sketch): fp is the fingerprint's 64 bits as a long; the sketch is empty unless similarity_words is given."""
+def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
+    """(doc_id, fp, sketch): fp is the fingerprint's 64 bits as a long; the sketch is empty."""
+
+    def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [fingerprint(x.as_py(), shingle_words) for x in batch.column("text")]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64()), pa.array([b""] * len(made), pa.binary())], ["doc_id", "fp", "sketch"])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batch_of, "doc_id long, fp long, sketch binary")
+
+
+def signatures(docs: DataFrame, shingle_words: int, similarity_words: int) -> DataFrame:
+    """(doc_id, fp, sketch, rep): the fingerprint, the sketch of shingles of `similarity_words` words, and the key of their set."""
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made, sketches = [], []
+        made, sketches, keys = [], [], []
         for x in batch.column("text"):
             words = words_of(x.as_py())
+            shingles = shingle_set(words, similarity_words)
             made.append(majority(words, shingle_words))
-            sketches.append(sketch(words, similarity_words) if similarity_words else b"")
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "fp", "sketch"])
+            keys.append(set_key(shingles))
+            sketches.append(_bits(minima(shingles)))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.int64())], ["doc_id", "fp", "sketch", "rep"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batch_of, "doc_id long, fp long, sketch binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batch_of, "doc_id long, fp long, sketch binary, rep long")
 
 
 def pivots() -> np.ndarray:
@@ -103,10 +138,10 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ p) for p in pivots()], axis=1)
 
 
-def most_differing(least_similarity: float) -> int:
-    """Sketch bits that may differ at a similarity, one standard deviation of the estimate allowed for."""
+def most_differing(least_similarity: float, deviations: float = 1.0) -> int:
+    """Sketch bits that may differ at a similarity, with so many standard deviations of the estimate allowed for."""
     p = (1 - least_similarity) / 2
-    return int(SKETCH_BITS * p + (SKETCH_BITS * p * (1 - p)) ** 0.5)
+    return int(SKETCH_BITS * p + deviations * (SKETCH_BITS * p * (1 - p)) ** 0.5)
 
 
 def _similar(sketches: np.ndarray | None, a, b, most: int) -> np.ndarray:
@@ -243,7 +278,7 @@ def _block_masks(blocks: int) -> list[int]:
 def links(distinct: DataFrame, distance: int, blocks: int, least_similarity: float | None = None) -> DataFrame:
     """Edges (a, b) between representatives of `distinct` (fp, rep, sketch), which connect what is within `distance`.
 
-    least_similarity: links need it too, as the sketches estimate it.
+    least_similarity: pairs whose sketches are far below it are no links.
     """
     masks = _block_masks(blocks)
     keys = []
@@ -253,23 +288,22 @@ def links(distinct: DataFrame, distance: int, blocks: int, least_similarity: flo
         keys.append(F.struct(F.lit(band).alias("band"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
     dealt = distinct.select("fp", "rep", "sketch", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", "sketch", "k.band", "k.key")
     dealt = dealt.repartition(partitions(distinct.sparkSession), "band", "key").sortWithinPartitions("band", "key", "rep")
-    return dealt.mapInArrow(_partition_links(distance, None if least_similarity is None else most_differing(least_similarity)), "a long, b long")
+    return dealt.mapInArrow(_partition_links(distance, None if least_similarity is None else most_differing(least_similarity, DEVIATIONS)), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, shingle_words: int = 3, distance: int = 3, blocks: int | None = 5, similarity_words: int | None = None, least_similarity: float | None = None) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle_words: int = 3, distance: int = 3, blocks: int | None = 5) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id reachable over links of at most `distance` bits, itself included.
 
     blocks: None takes as many as fit the number of fingerprints. It changes the time, not the result.
-    least_similarity: links need this Jaccard similarity of shingles of `similarity_words` words besides, as estimated by sketches.
     """
     if blocks is not None and not distance < blocks <= 64:
         raise ValueError("blocks must be more than distance, and 64 at most")
-    fps = written(fingerprints(docs, shingle_words, similarity_words), "fingerprints")
+    fps = written(fingerprints(docs, shingle_words), "fingerprints")
     distinct = fps.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"))
     if blocks is None:
         distinct = written(distinct, "distinct")
         blocks = blocks_for(distinct.count(), distance)
-    found = connected_components(links(distinct, distance, blocks, least_similarity))
+    found = connected_components(links(distinct, distance, blocks))
     of_fp = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(of_fp, ["fp", "sketch"]).drop("sketch")
 
@@ -282,16 +316,96 @@ def blocks_for(n: int, distance: int, most: int = 128) -> int:
     return 64
 
 
+def _verify(shingle_words: int, least_similarity: float):
+    def over(batches):
+        """Rows come sorted by a, the text of a before those it is compared with."""
+        now, hub = None, None
+        for batch in batches:
+            found = ([], [])
+            for a, want, text in zip(*(batch.column(x) for x in ("a", "want", "text")), strict=True):
+                a, want = a.as_py(), want.as_py()
+                if a == want == now:
+                    continue
+                shingles = shingle_set(words_of(text.as_py()), shingle_words)
+                if set_key(shingles) != want:
+                    continue  # another text of the same doc_id
+                if a == want:
+                    now, hub = a, shingles
+                elif a == now:
+                    shared = len(np.intersect1d(hub, shingles, assume_unique=True))
+                    if shared + 1e-9 >= least_similarity * (len(hub) + len(shingles) - shared):
+                        found[0].append(a)
+                        found[1].append(want)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    return over
+
+
+def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle_words: int, least_similarity: float) -> DataFrame:
+    """Those of `edges` (a, b) whose whole shingle sets have the Jaccard similarity; nodes: (rep, doc_id) of a document with that set.
+
+    A text comes once for each block of the edges of an a, which are dealt by b, so a node with very many edges is spread.
+    """
+    e = edges.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("part"))
+    needs = e.select("a", "part", F.col("a").alias("want")).distinct().union(e.select("a", "part", F.col("b").alias("want")))
+    needs = written(needs.join(nodes, F.col("want") == F.col("rep")).select("a", "part", "want", F.col("doc_id").alias("_need")), "needs")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(needs, F.col("_doc") == F.col("_need")).select("a", "part", "want", "text")
+    rows = rows.repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("want") != F.col("a"))
+    return rows.select("a", "want", "text").mapInArrow(_verify(shingle_words, least_similarity), "a long, b long").distinct()
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _across(near: DataFrame, good: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) not in `near` that its components hold together and `good` does not, with sketches at most `most` bits apart.
+
+    All parts of a component but the largest are compared with all of it.
+    """
+    held = connected_components(near).withColumnRenamed("component", "whole")
+    own = connected_components(good).withColumnRenamed("component", "own")
+    members = written(held.join(own, "node", "left").select("node", "whole", F.coalesce("own", "node").alias("own")), "members")
+    parts = members.groupBy("whole", "own").count()
+    split = parts.groupBy("whole").agg(F.max_by("own", F.struct("count", "own")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    words = [F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(SKETCH_BITS // 64)]
+    sketches = distinct.groupBy("rep").agg(F.min("sketch").alias("sketch")).select(F.col("rep").alias("node"), *words)
+    members = written(members.join(split, "whole").join(sketches, "node"), "split")
+    x, y = members.where("own <> main").alias("x"), members.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    pairs = x.join(y, (F.col("x.whole") == F.col("y.whole")) & ((F.col("y.own") == F.col("y.main")) | (F.col("x.own") < F.col("y.own"))) & (differ <= most))
+    return _ordered(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).join(near, ["a", "b"], "left_anti")
+
+
+def near_copy_links(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, distance: int, similarity_words: int, least_similarity: float) -> DataFrame:
+    """Links (a, b) between shingle sets of the similarity, exact, which connect the near copies among the candidates."""
+    near = written(_ordered(links(distinct, distance, blocks_for(distinct.count(), distance), least_similarity)), "near")
+    good = written(verified(near, nodes, docs, similarity_words, least_similarity), "good")
+    if near.count() == good.count():
+        return good
+    more = written(_across(near, good, distinct, most_differing(least_similarity, DEVIATIONS)), "across")
+    return good.union(verified(more, nodes, docs, similarity_words, least_similarity))
+
+
 def one_of_each_group(docs: DataFrame, shingle_words: int = 3, distance: int = 8, similarity_words: int = 5, least_similarity: float = 0.8) -> DataFrame:
     """`docs` with all columns, without those whose group has a smaller doc_id.
 
     Fingerprints of short shingles, which an edit changes less, bring near copies together;
-    the similarity of longer shingles decides.
+    the exact similarity of longer shingles decides.
 
     Rows of equal doc_id count as one document and stay together; rows without doc_id stay.
     """
-    found = simhash_groups(docs, shingle_words, distance, None, similarity_words, least_similarity)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    known = docs.where("doc_id IS NOT NULL")
+    made = written(signatures(known, shingle_words, similarity_words), "signatures")
+    distinct = written(made.groupBy("fp", "rep").agg(F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "distinct")
+    nodes = written(distinct.groupBy("rep").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    found = near_copy_links(known, distinct, nodes, distance, similarity_words, least_similarity)
+    one = made.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).where("a <> _most")
+    found = connected_components(found.union(made.join(one, "doc_id").select("a", F.col("rep").alias("b"))))
+    groups = nodes.join(found, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("_kept"))
+    of_rep = groups.join(least, "component").select("rep", "_kept")
+    gone = made.join(of_rep, "rep").where("doc_id <> _kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
 
 

@@ -421,6 +421,60 @@ def test_near_copies_go_and_others_stay(spark):
     assert len([1 for g in range(30) for c in (1, 2, 3) if g * 10 + c in kept]) <= 4
 
 
+def _near_texts(edits):
+    r = random.Random(12)
+    made = []
+    for g in range(120):
+        base = words(r, 250).split()
+        other = list(base)
+        for at in r.sample(range(250), r.choice(edits)):
+            other[at] = f"edit{r.randint(0, 10**6)}"
+        made += [(g * 10, " ".join(base)), (g * 10 + 1, " ".join(other))]
+    return made
+
+
+def _shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def _jaccard(a, b):
+    a, b = _shingles(a), _shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_decides_by_exact_similarity(spark):
+    made = _near_texts(range(2, 10))
+    texts = dict(made)
+    similarity = {g: _jaccard(texts[g], texts[g + 1]) for g in texts if g % 10 == 0}
+    assert sum(0.7 <= s < 0.8 for s in similarity.values()) > 20 and sum(0.8 <= s < 0.9 for s in similarity.values()) > 20
+    kept = {x.doc_id for x in rows_of(simhash.one_of_each_group(spark.createDataFrame(made, "doc_id long, text string")))}
+    assert all(g in kept for g in similarity)
+    assert all(g + 1 in kept for g, s in similarity.items() if s < 0.8)
+
+
+def test_verified_splits_and_finds_what_the_forest_left_out(spark):
+    r = random.Random(14)
+    # A chain: neighbours are alike, the ends are not; and a node that the sketches link to one it is not like.
+    chain = [words(r, 250).split()]
+    for n in range(8):
+        chain.append([f"c{n}x{i}" if i % 125 == n else w for i, w in enumerate(chain[-1])])
+    far = [f"far{i}" if i % 32 == 0 else w for i, w in enumerate(chain[0])]
+    made = [(i, " ".join(x)) for i, x in enumerate([*chain, far])]
+    texts = dict(made)
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    signed = simhash.signatures(df, 3, 5).cache()
+    key = {x.doc_id: x.rep for x in rows_of(signed)}
+    nodes = signed.select("rep", "doc_id")
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    edges = spark.createDataFrame([(key[a], key[b]) for a, b in pairs], "a long, b long")
+    good = {tuple(x) for x in rows_of(simhash.verified(edges, nodes, df, 5, 0.8))}
+    assert good == {(key[a], key[b]) for a, b in pairs if _jaccard(texts[a], texts[b]) >= 0.8} and 0 < len(good) < len(pairs)
+    star = simhash._ordered(spark.createDataFrame([(key[9], key[i]) for i in range(9)], "a long, b long"))
+    across = {frozenset(x) for x in rows_of(simhash._across(star, star.where("false"), signed, 256))}
+    assert across == {frozenset((key[a], key[b])) for a, b in pairs if 9 not in (a, b)}
+
+
 def test_one_of_each_group(spark, docs, none):
     kept = simhash.one_of_each_group(docs)
     ids = Counter(r.doc_id for r in rows_of(kept))
