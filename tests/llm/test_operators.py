@@ -453,6 +453,16 @@ def test_near_dedup_decides_by_exact_similarity(spark):
     assert all(g + 1 in kept for g, s in similarity.items() if s < 0.8)
 
 
+def test_near_copies_meet_whatever_their_fingerprints(spark):
+    made = _near_texts(range(3, 6))
+    texts = dict(made)
+    near = [g for g in texts if g % 10 == 0 and _jaccard(texts[g], texts[g + 1]) >= 0.8]
+    apart = [g for g in near if (simhash.fingerprint(texts[g], 3) ^ simhash.fingerprint(texts[g + 1], 3)).bit_count() > 8]
+    assert len(near) > 80 and len(apart) > 5
+    kept = {x.doc_id for x in rows_of(simhash.one_of_each_group(spark.createDataFrame(made, "doc_id long, text string")))}
+    assert kept == {g for g in texts if g - 1 not in near}
+
+
 def test_verified_splits_and_finds_what_the_forest_left_out(spark):
     r = random.Random(14)
     # A chain: neighbours are alike, the ends are not; and a node that the sketches link to one it is not like.
