@@ -4,7 +4,7 @@ A sentence ends behind . ! or ? before white space, at a line end, and before a
 word that follows a word without such an end (so that a passage put into the middle of a
 sentence begins one). From each sentence runs the shortest span of at least `MIN_SENTENCES`
 sentences and `MIN_WORDS` words, and to each sentence the shortest such span that ends with
-it; words are compared as they are, white space is not. All spans' hashes meet by hash
+it; a sentence of `LONG_SENTENCE` words or more is a span by itself too. Words are compared as they are, white space is not. All spans' hashes meet by hash
 range; a span counts as first in the smallest doc_id, and there in the first place. Every
 sentence that any other occurrence covers is removed, judged on the input.
 
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import partitions
 
-MIN_SENTENCES, MIN_WORDS = 2, 14
+MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 14, 25
 _CUT = re.compile(r"(?<=[.!?])\s+|\n\s*|(?<=[^\s.!?]) (?=[^\W\d_a-zà-öø-ÿ][^\W\d_]*[a-zà-öø-ÿ])")
 
 
@@ -40,8 +40,8 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(begins, [*ends, len(text)], strict=True) if b > a]
 
 
-def spans(counts: list[int], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """The shortest sufficient span from each sentence and to each sentence, as (first, behind last), each once."""
+def spans(counts: list[int], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, long_sentence: int = LONG_SENTENCE) -> list[tuple[int, int]]:
+    """The shortest sufficient span from each sentence and to each sentence, and each long sentence, as (first, behind last), each once."""
     n, total = len(counts), [0]
     for c in counts:
         total.append(total[-1] + c)
@@ -62,6 +62,8 @@ def spans(counts: list[int], min_sentences: int = MIN_SENTENCES, min_words: int
             break
         if (first, behind) not in forward:
             out.append((first, behind))
+    if min_sentences > 1:
+        out.extend((i, i + 1) for i, c in enumerate(counts) if c >= long_sentence)
     return out
 
 

@@ -276,6 +276,15 @@ def test_sentence_spans(docs, none, texts):
     assert not rows_of(span_dedup.cut_documents(none))
 
 
+def test_a_long_sentence_is_a_span_by_itself(spark):
+    r = random.Random(21)
+    long, short = (words(r, n).capitalize() + "." for n in (span_dedup.LONG_SENTENCE, span_dedup.LONG_SENTENCE - 1))
+    made = [(i, f"{sentences(r, 3)} {x} {sentences(r, 3)}") for i, x in enumerate((long, long, short, short))]
+    left = {x.row.doc_id: x for x in rows_of(span_dedup.cut_documents(spark.createDataFrame(made, "doc_id long, text string")))}
+    assert [left[i]._removed for i in range(4)] == [0, 1, 0, 0] and long in left[0]._new and long not in left[1]._new and short in left[3]._new
+    assert span_dedup.spans([30]) == [(0, 1)] and span_dedup.spans([24]) == []
+
+
 def test_sentences_cover_the_text(texts):
     for _, t in texts:
         parts = span_dedup.sentences(t or "")
