@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import running_sums, written
@@ -34,9 +34,9 @@ def hash32(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, *more: Column) -> DataFrame:
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"), "source", words.cast("long").alias("tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"), "source", words.cast("long").alias("tokens"), *more)
 
 
 def bisected_exponent(shares: DataFrame, budget: int, entropy_share: float | None, max_repeat: float | None) -> float:
@@ -70,11 +70,15 @@ def bisected_exponent(shares: DataFrame, budget: int, entropy_share: float | Non
 
 def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: float | None = ENTROPY_SHARE, max_repeat: float | None = MAX_REPEAT, seed: str = "mix", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, source, tokens, epoch, block and position of each document taken; position: tokens of the source's stream before it."""
-    rows = written(counted(docs), "counted")
+    return _mix(written(counted(docs), "counted"), [], budget_share, entropy_share, max_repeat, seed, block_tokens)
+
+
+def _mix(rows: DataFrame, more: list[str], budget_share: float = BUDGET_SHARE, entropy_share: float | None = ENTROPY_SHARE, max_repeat: float | None = MAX_REPEAT, seed: str = "mix", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The mix of `counted` rows, with the columns `more`, which break ties between rows of equal doc_id."""
     sources = written(rows.groupBy("key").agg(F.sum("tokens").alias("t")).where("t > 0"), "sources")
     total = sources.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first().t
     if not total:
-        return rows.where("false").select("doc_id", "source", "tokens", F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("position"))
+        return rows.where("false").select("doc_id", "source", "tokens", F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("position"), *more)
     budget = int(total * budget_share)
     exponent = bisected_exponent(sources, budget, entropy_share, max_repeat)
     weight = F.pow(F.col("t").cast("double"), F.lit(exponent))
@@ -86,16 +90,24 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: floa
     taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     taken = taken.withColumn("at", hash32(F.lit(seed), "key", "epoch", "block") * F.lit(2**20) + F.pmod("block", F.lit(2**20)))
     taken = taken.withColumn("h", hash32(F.lit(seed), "epoch", "doc_id"))
-    taken = running_sums(taken, ["key", "epoch"], "at", ["h", "doc_id"], F.col("tokens"), "before")
+    taken = running_sums(taken, ["key", "epoch"], "at", ["h", "doc_id", *more], F.col("tokens"), "before")
     position = F.col("epoch") * F.col("t") + F.col("before")
-    return taken.withColumn("position", position).where("position < quota").select("doc_id", "source", "tokens", "epoch", "block", "position")
+    return taken.withColumn("position", position).where("position < quota").select("doc_id", "source", "tokens", "epoch", "block", "position", *more)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns, once for each epoch in which they are taken."""
-    chosen = mix(docs, **options).select(F.col("doc_id").alias("_id"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_doc"))
-    return rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_id"))).select(*[F.col("row")[x].alias(x) for x in docs.columns])
+    """The documents of the mix with all their columns, once for each epoch in which they are taken.
+
+    A row is known by its doc_id, a hash of id, source and text, and its number among the rows equal in these.
+    """
+    same = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("")))
+    rows = written(counted(docs, same.alias("_same")), "counted")
+    copies = Window.partitionBy("doc_id", "_same", "epoch").orderBy("position")
+    chosen = _mix(rows, ["_same"], **options).withColumn("_copy", F.row_number().over(copies)).select(F.col("doc_id").alias("_id"), F.col("_same").alias("_key"), "_copy")
+    numbered = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_doc"), same.alias("_same"))
+    numbered = numbered.withColumn("_number", F.row_number().over(Window.partitionBy("_doc", "_same").orderBy("_doc")))
+    met = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_key")) & (F.col("_number") == F.col("_copy"))
+    return numbered.join(chosen, met).select(*[F.col("row")[x].alias(x) for x in docs.columns])
 
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,15 @@ def test_mixing(spark, docs, none, texts, tmp_path):
     assert not rows_of(mixing.mix(none)) and not rows_of(mixing.mix(docs.where("text IS NULL")))
 
 
+def test_mixed_documents_give_repeated_and_null_ids_once(spark):
+    made = [(7, "a b c", "s"), (7, "a b c", "s"), (7, "d e f g", "s"), (7, "a b c", "t"), *[(None, f"n{i % 4} x y", "s") for i in range(8)], *[(i, "p q r", "t") for i in range(20, 30)]]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    whole = mixing.mixed_documents(df, budget_share=1.0, entropy_share=None, max_repeat=1.0)
+    assert Counter(map(tuple, rows_of(whole))) == Counter(made)
+    half = spark.createDataFrame([(1, f"w{i} b c", "s") for i in range(10)] + [(2, "same b c", "s")] * 10, df.schema)
+    assert len(rows_of(mixing.mixed_documents(half, budget_share=0.5, entropy_share=None, max_repeat=1.0))) == 10
+
+
 def test_token_files_round_trip(spark, docs, none, texts, tmp_path):
     for kind in ("dictionary", "delta"):
         path = str(tmp_path / kind)
