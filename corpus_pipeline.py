@@ -29,8 +29,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the flattest temperature at which a budget of nine tenths of all tokens repeats no document."""
-    return mixed_documents(docs, budget_share=0.9, entropy_share=None, max_repeat=1.0)
+    """Operator 3 with its production budget (all tokens), target entropy and repetition limit."""
+    return mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,12 @@ def test_stages_take_effect(spark):
     assert max(by.values()) <= 4096
 
 
+def test_mixing_keeps_all_of_balanced_sources(spark):
+    docs = spark.createDataFrame([(i, f"one two three {i}", f"s{i % 4}", 17) for i in range(80)], "doc_id long, text string, source string, n_chars long")
+    made = corpus_pipeline.source_mixing(spark, docs, SF)
+    assert sorted(r.doc_id for r in made.collect()) == list(range(80))
+
+
 def test_run_is_the_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "substring_dedup", "source_mixing", "best_fit_packing"]
     rows = corpus_pipeline.run(spark, SF).collect()
