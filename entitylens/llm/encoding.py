@@ -4,7 +4,9 @@ Both vocabularies cut a text before they merge, and never merge across a space t
 between two non-space characters, nor between a letter and a comma, full stop or line end.
 So a text may be cut there, each distinct piece be encoded once by the library, and the ids
 be put together again: the result equals the library's encoding of the whole text. Texts
-with runs of spaces are cut more cautiously. `tests/llm` holds this against the library.
+with runs of spaces are cut more cautiously, and those that hold the string of a special
+token go to the library whole, which reads it as that token (its default). `tests/llm`
+holds this against the library.
 """
 
 from __future__ import annotations
@@ -49,7 +51,8 @@ class PieceCache(dict):
                 low = piece.lower() if owner.lower_case else piece
                 return owner.model_ids(self.letter_before + low.encode().decode("latin-1").translate(_BYTE_LETTERS))
             return owner.library_ids(self.before + piece)
-        if piece[-1:] in (",", ".") and piece[:-1].isalpha():
+        # Beyond Latin letters, lower case may end in a mark that merges with what follows.
+        if piece[-1:] in (",", ".") and piece[:-1].isalpha() and max(piece) <= "\xff":
             return self[piece[:-1]] + owner.bare[piece[-1]]
         head, line_end, tail = piece.partition("\n")
         if line_end and tail[:1].isalpha() and head and head[-1].isprintable() and head[-1] != " ":
@@ -58,14 +61,14 @@ class PieceCache(dict):
 
 
 class WordCachedEncoder:
-    """Ids of whole texts, without special tokens; strings of special tokens in a text are ordinary text."""
+    """Ids of whole texts as the library gives them by default, with add_special_tokens=False."""
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         of = lambda text: self.library.encode(text, add_special_tokens=False).ids
         self.lower_case, self.drops_space = of("A") == of("a"), of(" ") == []
@@ -89,6 +92,9 @@ class WordCachedEncoder:
         return _CAREFUL_CUT.split(text) if "  " in text else text.split(" ")
 
     def encode(self, text: str | None) -> bytes:
+        low = (text or "").lower() if self.lower_case else text or ""
+        if any(x in low for x in self.special):
+            return self.library_ids(text)
         first, *rest = self.cut(text or "")
         return b"".join([self.bare[first], *map(self.spaced.__getitem__, rest)])
 
@@ -113,6 +119,8 @@ class WordCachedEncoder:
             texts_cut = pc.replace_substring(pc.utf8_lower(texts), "\n", " ")
         else:
             odd, texts_cut = pc.match_substring(texts, "  "), texts
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts_cut, x))
         alone = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(alone):
             texts_cut = pc.if_else(odd, "", texts_cut)

@@ -4,11 +4,12 @@ A packer keeps a fixed number of open sequences; a bitset has a bit for each amo
 space that some open sequence has. A piece goes where the least space is left after it (the
 lowest set bit at or above its length). If none has room, a new sequence is opened, and if
 that makes too many, the fullest is closed. Packers run side by side over parts of the
-pieces; what each leaves open at its end is packed once more, by the same rule, in a table
-whose size is the number of packers times that of open sequences.
+pieces; what each leaves open at its end is packed once more, fullest first and with more places, by
+the same rule, in a table whose size is the number of packers times that of open sequences.
 
-Null texts count as empty; every text has its end id at least. Equal doc_ids are packed as
-separate documents of their own. An empty table gives no rows. Other columns are left out.
+Null texts count as empty; every text has its end id at least. Equal doc_ids, and rows
+without doc_id, are packed as separate documents of their own. An empty table gives no rows.
+Other columns are left out.
 """
 
 from __future__ import annotations
@@ -94,7 +95,9 @@ def pack(found: DataFrame, size: int, most_open: int = 256) -> DataFrame:
             put = [packer.put(x) for x in batch.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([(part << 40) + s for s, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())], [*batch.schema.names, "first_id", "first_offset"])
 
-    dealt = found.repartition(n, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("doc_id", "piece", F.lit("order")), "doc_id", "piece")
+    # The whole row is the key, so that rows of one doc_id, or of none, are spread, and a task that runs again packs alike.
+    own = ("doc_id", "piece", "length", "ids_crc32")
+    dealt = found.repartition(n, F.xxhash64(*own)).sortWithinPartitions(F.xxhash64(*own, F.lit("order")), *own)
     schema = f"{PIECE_SCHEMA}, first_id long, first_offset long"
     once = written(dealt.mapInArrow(first, schema), "packed")
     fill = once.groupBy("first_id").agg(F.sum("length").alias("filled"))

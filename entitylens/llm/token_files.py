@@ -6,7 +6,8 @@ and pages of bounded size; the Parquet writer adds column and offset indexes by
 reader can take metadata columns alone, or the pages of a few documents.
 
 Null texts count as empty (they have the end id only); documents of equal doc_id stand next
-to each other; an empty table gives files without rows. Other columns are left out.
+to each other in the order of their texts, those without doc_id before all others; an empty
+table gives files without rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
 
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionById(n, range_number("doc_id", range_bounds(rows, "doc_id", n))).sortWithinPartitions("doc_id")
+    dealt = rows.repartitionById(n, range_number("doc_id", range_bounds(rows, "doc_id", n))).sortWithinPartitions("doc_id", "text")
     writer = dealt.mapInArrow(encode, FILE_SCHEMA).write
     for k, v in {
         "parquet.writer.version": "PARQUET_2_0",
