@@ -18,7 +18,9 @@ texts. Where that splits what the sketches held together, all its pairs across t
 the sketches allow are verified too.
 
 Null and empty texts have no words: fingerprint zero, linked like any other. Very long texts
-are taken whole, in slices. Equal doc_ids keep a row each. Other columns are left out.
+are taken whole, in slices. Equal doc_ids keep a row each. A row without doc_id links like
+any other; its component is named by the smallest doc_id there, and has no name (null) if
+none of its rows has one. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -122,7 +124,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
 
 
 def signatures(docs: DataFrame, shingle_words: int, similarity_words: int) -> DataFrame:
-    """(doc_id, fp, sketch, rep, bands): the fingerprint, the sketch of shingles of `similarity_words` words, the key of their set and the keys of its bands."""
+    """(doc_id, text_hash, fp, sketch, rep, bands): the fingerprint, the sketch of shingles of `similarity_words` words, the key of their set and the keys of its bands."""
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         made, sketches, keys, bands = [], [], [], []
@@ -135,9 +137,10 @@ def signatures(docs: DataFrame, shingle_words: int, similarity_words: int) -> Da
             sketches.append(_bits(least))
             bands.append(band_keys(least))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(made) + 1, BANDS, dtype=np.int32)), pa.array(np.concatenate(bands) if bands else [], pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.int64()), lists], ["doc_id", "fp", "sketch", "rep", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(made, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.int64()), lists], ["doc_id", "text_hash", "fp", "sketch", "rep", "bands"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batch_of, "doc_id long, fp long, sketch binary, rep long, bands array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return arrow_map(rows, batch_of, "doc_id long, text_hash long, fp long, sketch binary, rep long, bands array<int>")
 
 
 def pivots() -> np.ndarray:
@@ -318,13 +321,15 @@ def simhash_groups(docs: DataFrame, shingle_words: int = 3, distance: int = 3, b
     if blocks is not None and not distance < blocks <= 64:
         raise ValueError("blocks must be more than distance, and 64 at most")
     fps = written(fingerprints(docs, shingle_words), "fingerprints")
-    distinct = fps.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"))
+    # A fingerprint stands for itself in the links; documents without doc_id have one too.
+    distinct = fps.groupBy("fp", "sketch").agg(F.min("doc_id").alias("least")).withColumn("rep", F.col("fp"))
     if blocks is None:
         distinct = written(distinct, "distinct")
         blocks = blocks_for(distinct.count(), distance)
     found = connected_components(links(distinct, distance, blocks))
-    of_fp = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of_fp, ["fp", "sketch"]).drop("sketch")
+    of_fp = written(distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("component")), "of_fingerprint")
+    named = of_fp.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.drop("sketch").join(of_fp.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def blocks_for(n: int, distance: int, most: int = 128) -> int:
@@ -414,20 +419,27 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 3, distance: int = 8
     Fingerprints of short shingles, which an edit changes less, and minimum hashes of longer ones
     bring near copies together; the exact similarity of longer shingles decides.
 
-    Rows of equal doc_id count as one document and stay together; rows without doc_id stay.
+    Rows of equal doc_id and different texts are documents each (of those in one group, the
+    one with the smallest hash of its text stays); of rows equal in doc_id and text one stays.
+    Rows without doc_id stay.
     """
     known = docs.where("doc_id IS NOT NULL")
     made = written(signatures(known, shingle_words, similarity_words), "signatures")
     distinct = written(made.groupBy("fp", "rep").agg(F.min("sketch").alias("sketch"), F.min("bands").alias("bands"), F.min("doc_id").alias("doc_id")), "distinct")
     nodes = written(distinct.groupBy("rep").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    found = near_copy_links(known, distinct, nodes, distance, similarity_words, least_similarity)
-    one = made.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).where("a <> _most")
-    found = connected_components(found.union(made.join(one, "doc_id").select("a", F.col("rep").alias("b"))))
-    groups = nodes.join(found, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
-    least = groups.groupBy("component").agg(F.min("doc_id").alias("_kept"))
-    of_rep = groups.join(least, "component").select("rep", "_kept")
-    gone = made.join(of_rep, "rep").where("doc_id <> _kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    found = connected_components(near_copy_links(known, distinct, nodes, distance, similarity_words, least_similarity))
+    own = made.groupBy("rep").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    groups = own.join(found, F.col("rep") == F.col("node"), "left").select("rep", "first", F.coalesce("component", "rep").alias("component"))
+    least = groups.groupBy("component").agg(F.min("first").alias("kept"))
+    of_rep = groups.join(least, "component").select("rep", "kept")
+    texts = made.groupBy("doc_id", "text_hash", "rep").agg(F.count("*").alias("n")).join(of_rep, "rep")
+    texts = texts.withColumn("goes", F.struct("doc_id", "text_hash") != F.col("kept")).where("goes OR n > 1")
+    texts = written(texts.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "goes"), "decided")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+    same = (F.col("_id") == F.col("_d")) & (F.col("_hash") == F.col("_h"))
+    whole = rows.join(texts, same, "left_anti").select("row")
+    twice = rows.join(texts.where("NOT goes"), same, "left_semi").groupBy("_id", "_hash").agg(F.first("row").alias("row")).select("row")
+    return whole.union(twice).select(*[F.col("row")[x].alias(x) for x in docs.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,8 +57,7 @@ def rows_of(df):
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encoder_equals_library(texts, path):
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    odd = ["a  b   c", "\n  x y ", "a\t b c", " lead", "x \n y", "a.\n\nb c.", "é́ Σ", "a ", "1.5, 2,000.", "It's we'll", "日本 語, b.", "İI ẞ", "a.b,c .", "x\n,y", "End.\nNext", "tail\n"]
+    odd = ["İ, İ. x", "a<|endoftext|> b <|startoftext|>", "<|ENDOFTEXT|> c", "w$$$ x!! (y) é%%% a_b z' it's' n'", "a  b   c", "\n  x y ", "a\t b c", " lead", "x \n y", "a.\n\nb c.", "é́ Σ", "a ", "1.5, 2,000.", "It's we'll", "日本 語, b.", "İI ẞ", "a.b,c .", "x\n,y", "End.\nNext", "tail\n"]
     values = [t or "" for _, t in texts] + odd
     small = encoding.WordCachedEncoder(path, cache_entries=50)
     for _ in range(2):
@@ -71,6 +70,17 @@ def test_encoder_equals_library(texts, path):
     assert [len(x) for x in small.encode_column(pa.array([], pa.string()), 7)] == [0, 1]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_equals_library_on_random_texts(path):
+    r, library, small = random.Random(17), Tokenizer.from_file(path), encoding.WordCachedEncoder(path, cache_entries=2000)
+    signs = [*"abzABZéÉßñµªºÀÿİıΣσςÖЖж日本½²'’\".,!?;:()[]<>|$&%*#@_-+/\\^~`…–“”«»0123456789\t\n\r\x0b\xa0 ́̇‍😀    ", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "don't", "İ,", "İ.", "ẞ", " word", "Word, ", "end.\n"]
+    for _ in range(20):
+        made = ["".join(r.choices(signs, k=r.randint(0, 14))) for _ in range(500)]
+        ids, at = small.encode_column(pa.array(made), 7)
+        for text, want, a, b in zip(made, library.encode_batch(made, add_special_tokens=False), at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == [*want.ids, 7], text
+
+
 def test_toxicity(spark, docs, none):
     bad, good = "zorgle", ["the", "a", "some", "that"]
     odd = lambda i: " ".join("".join(random.Random(f"{i}{k}").choices("abcdefgh", k=7)) for k in range(9))
@@ -153,7 +163,6 @@ def test_token_files_round_trip(spark, docs, none, texts, tmp_path):
         token_files.write_token_files(docs, path, BYTE, end_id=2, row_group_bytes=1 << 16, page_rows=10, ids_encoding=kind)
         found = sorted(rows_of(token_files.token_digests(token_files.read_token_files(spark, path))), key=lambda r: r.start)
         library = Tokenizer.from_file(BYTE)
-        library.encode_special_tokens = True
         start, seen = 0, Counter()
         for r in found:
             assert r.start == start
@@ -200,6 +209,9 @@ def test_sharding(spark, docs, none, texts):
     whole = [len(c) == 1 for t, c in shards.items() if t.startswith("text")]
     assert np.mean(whole) > 0.9  # small groups stay together
     assert len(shards["hot"]) <= 4  # 400 of 1600 need two shards of 200 at least
+    cut = lambda home: sum(1 for t in {t for t in groups if t.startswith("text")} for c in [Counter(home[i] for i, x in enumerate(groups) if x == t)] for _ in range(sum(c.values()) - max(c.values())))
+    start = {x.doc_id: x.s for x in rows_of(df.select("doc_id", sharding.bucket(F.struct(F.col("doc_id"), F.lit("home")), 8).alias("s")))}
+    assert cut({x.doc_id: x.shard for x in made}) * 10 < cut(start)
     all_linked = spark.createDataFrame([(i, f"t{i % 40}") for i in range(400)], "doc_id long, text string")
     _sharding_holds(rows_of(sharding.balanced_shards(all_linked)), 400)
     assert not rows_of(sharding.balanced_shards(none))
@@ -234,6 +246,14 @@ def test_suffix_dedup_bytes(spark):
     assert Counter(tuple(x) for x in rows_of(suffix_dedup.remove_repeats(df))) == _suffix_brute(some)
 
 
+def test_anchor_ranges_are_even():
+    raw = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    *_, h = suffix_dedup.anchors(raw, np.array([0, len(raw)]))
+    for ranges in (32, 408):
+        n = np.bincount(suffix_dedup._range_of(h, ranges), minlength=ranges)
+        assert len(n) == ranges and n.max() < 2.5 * len(h) / ranges
+
+
 def test_loser_tree_gives_order_and_prefixes():
     r = random.Random(1)
     for _ in range(60):
@@ -251,15 +271,16 @@ def test_loser_tree_gives_order_and_prefixes():
 
 
 def _span_brute(texts):
-    first, found, distinct = {}, [], dict.fromkeys(texts)
-    key = lambda i, t: (i, t or "")
+    """Of every run of sentences that is long enough, not only the shortest ones: where it stands."""
     occurrences = defaultdict(list)
-    for i, t in distinct:
-        parts = [(t or "")[a:b] for a, b in span_dedup.sentences(t or "")]
-        split = [p.split() for p in parts]
-        for a, b in span_dedup.spans(list(map(len, split))):
-            occurrences[" ".join(w for s in split[a:b] for w in s)].append((i, key(i, t), a, b))
-    del first, found
+    for i, t in dict.fromkeys(texts):
+        split = [(t or "")[a:b].split() for a, b in span_dedup.sentences(t or "")]
+        for a in range(len(split)):
+            run, most = [], a + 40  # a longer run that repeats is covered by its parts
+            for b in range(a + 1, min(most, len(split)) + 1):
+                run = run + split[b - 1]
+                if b - a >= span_dedup.MIN_SENTENCES and len(run) >= span_dedup.MIN_WORDS or len(run) >= span_dedup.LONG_SENTENCE:
+                    occurrences[" ".join(run)].append((i, (i, t or ""), a, b))
     return occurrences
 
 
@@ -302,7 +323,6 @@ def test_sentences_cover_the_text(texts):
 
 def test_packing(spark, docs, none, texts):
     library = Tokenizer.from_file(WORD)
-    library.encode_special_tokens = True
     want = Counter()
     for i, t in texts:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
@@ -324,6 +344,41 @@ def test_packing(spark, docs, none, texts):
     assert not rows_of(packing.pack_documents(none, WORD))
 
 
+def test_best_fit_places_as_a_plain_list_does():
+    r = random.Random(5)
+    for size, most in ((10, 2), (64, 5), (512, 16)):
+        p, opened, made = packing.BestFit(size, most), [], 0
+        for length in (min(size, 1 + int(r.expovariate(4 / size))) for _ in range(3000)):
+            sequence, offset = p.put(length)
+            fitting = [x for x in opened if size - x[1] >= length]
+            least = min((size - x[1] for x in fitting), default=None)
+            if least is None:
+                assert (sequence, offset) == (made, 0)
+                opened.append([made, length])
+                made += 1
+            else:
+                (home,) = [x for x in fitting if x[0] == sequence]
+                assert size - home[1] == least and offset == home[1]
+                home[1] += length
+            opened = [x for x in opened if x[1] < size]
+            if len(opened) > most:
+                fullest = max(x[1] for x in opened)
+                (gone,) = [x for x in opened if x[0] not in p.used]
+                assert gone[1] == fullest
+                opened.remove(gone)
+            assert {x[0]: x[1] for x in opened} == p.used
+
+
+def test_packing_spreads_rows_without_doc_id(spark):
+    df = spark.createDataFrame([(None, f"word{i} " * (i % 40)) for i in range(300)], "doc_id long, text string")
+    made = rows_of(packing.pack_documents(df, WORD, size=64))
+    by = defaultdict(list)
+    for x in made:
+        by[x.sequence_id].append((x.offset, x.length))
+    assert all(sorted(v)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(v), sorted(v)[1:], strict=False)) for v in by.values())
+    assert sum(r.piece == 0 for r in made) == 300
+
+
 def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     p = packing.BestFit(10, 2)
     assert [p.put(x) for x in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
@@ -386,7 +441,10 @@ def _components(fps, distance):
 def test_simhash_equals_brute_force(spark, docs, none, texts):
     rows = rows_of(simhash.simhash_groups(docs))
     assert Counter((r.doc_id, r.fp % 2**64) for r in rows) == Counter((i, _fingerprint_brute(t)) for i, t in texts)
-    unique = {i: _fingerprint_brute(t) for i, t in texts if i not in (5, 6)}
+    values = [_fingerprint_brute(t) for _, t in texts]
+    joined = _components(dict(enumerate(values)), 3)
+    least = {c: min(texts[k][0] for k, x in joined.items() if x == c) for c in set(joined.values())}
+    assert Counter((x.doc_id, x.fp % 2**64, x.component_id) for x in rows) == Counter((i, v, least[joined[k]]) for k, ((i, _), v) in enumerate(zip(texts, values, strict=True)))
     r = random.Random(4)
     near = [0] * 3 + [sum(1 << b for b in r.sample(range(64), r.randint(1, 4))) for _ in range(400)] + [r.getrandbits(64) for _ in range(300)]
     df = spark.createDataFrame([(v - 2**64 if v >> 63 else v, i, b"") for i, v in enumerate(dict.fromkeys(near))], "fp long, rep long, sketch binary")
@@ -396,7 +454,18 @@ def test_simhash_equals_brute_force(spark, docs, none, texts):
 
         found = {x.node: x.component for x in rows_of(connected_components(simhash.links(df, distance, blocks)))}
         assert {i: found.get(i, i) for i in fps} == _components(fps, distance)
-    assert unique and not rows_of(simhash.simhash_groups(none))
+    assert not rows_of(simhash.simhash_groups(none))
+
+
+def test_simhash_links_rows_without_doc_id(spark):
+    made = [(None, "one two three four five"), (2**53 + 1, "one two three four five"), (2**60 + 7, "six seven eight"), (None, "nine ten eleven"), (None, ""), (None, None), (9, " ")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    fps = dict(enumerate(_fingerprint_brute(t) for _, t in made))
+    for distance, blocks in ((3, 5), (40, 41)):
+        joined = _components(fps, distance)
+        least = {c: min((made[k][0] for k, x in joined.items() if x == c and made[k][0] is not None), default=None) for c in set(joined.values())}
+        got = Counter((x.doc_id, x.fp % 2**64, x.component_id) for x in rows_of(simhash.simhash_groups(df, distance=distance, blocks=blocks)))
+        assert got == Counter((made[k][0], fps[k], least[joined[k]]) for k in fps)
 
 
 def test_large_groups_are_searched_outwards():
@@ -507,6 +576,8 @@ def test_one_of_each_group(spark, docs, none):
     kept = simhash.one_of_each_group(docs)
     ids = Counter(r.doc_id for r in rows_of(kept))
     assert kept.columns == docs.columns and 0 in ids and 46 not in ids and not rows_of(simhash.one_of_each_group(none))
+    some = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (2, "u v w x y z", 9), (3, "k l m n o p", 1), (3, "k l m n o p", 1), (None, "a b c d e f", 3)], "doc_id long, text string, _gone int")
+    assert sorted(map(str, rows_of(simhash.one_of_each_group(some).select("doc_id", "text", "_gone")))) == sorted(str(x) for x in rows_of(some.where("doc_id IS NULL OR _gone IN (7, 9, 1)").dropDuplicates()))
     unknown = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c")], "doc_id long, text string")
     assert simhash.one_of_each_group(unknown).count() == 3
 
@@ -518,8 +589,9 @@ def test_blocks_for(n, distance):
 
 
 def test_nulls_in_doc_id(spark):
-    df = spark.createDataFrame([(None, "one two three. " * 20, None), (None, None, "s"), (1, "", "s")], "doc_id long, text string, source string")
-    for f in (quality.judge, simhash.simhash_groups, sharding.balanced_shards, suffix_dedup.remove_repeats, span_dedup.cut_documents, mixing.mix):
-        assert len(rows_of(f(df))) >= 1
-    assert len(rows_of(packing.pack_documents(df, WORD))) == 3
-    assert df.select(F.count("*")).first()[0] == 3
+    df = spark.createDataFrame([(None, "one two three. " * 20, None), (None, None, "s"), (1, "", "s"), (1, "", "s")], "doc_id long, text string, source string")
+    for f in (quality.judge, simhash.simhash_groups, sharding.balanced_shards, suffix_dedup.remove_repeats, mixing.mix):
+        assert Counter(r.doc_id for r in rows_of(f(df))) == Counter([None, None, 1, 1]) or f is mixing.mix
+    assert Counter(r.row.doc_id for r in rows_of(span_dedup.cut_documents(df))) == Counter([None, None, 1, 1])
+    assert len(rows_of(packing.pack_documents(df, WORD))) == 4
+    assert Counter((r.doc_id, r.held_out) for r in rows_of(toxicity.score_documents(df, toxicity.Scorer({}, {})))) == Counter([(None, None)] * 2 + [(1, zlib.crc32(b"1") % 5 == 0)] * 2)
