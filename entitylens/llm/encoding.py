@@ -1,7 +1,7 @@
 """Whole-text encoding with the tokenizers library, sped up by a cache of word encodings.
 
 Both vocabularies cut a text before they merge, and never merge across a space that stands
-between two non-space characters, nor between a letter and a comma, full stop or line end.
+between two non-space characters, nor between a letter and a run of marks or a line end.
 So a text may be cut there, each distinct piece be encoded once by the library, and the ids
 be put together again: the result equals the library's encoding of the whole text. Texts
 with runs of spaces are cut more cautiously, and those that hold the string of a special
@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 #: Entries that a worker's cache may have (some 170 bytes each). Beyond it the older half, which has the frequent words, stays.
 CACHE_ENTRIES = 600_000
 
+#: Letters and a run of ASCII marks; an apostrophe may begin a piece with letters behind it.
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 _CAREFUL_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Byte-level vocabularies write a byte as itself where it prints, else as the next code point from 256 on.
 _PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -51,9 +53,9 @@ class PieceCache(dict):
                 low = piece.lower() if owner.lower_case else piece
                 return owner.model_ids(self.letter_before + low.encode().decode("latin-1").translate(_BYTE_LETTERS))
             return owner.library_ids(self.before + piece)
-        # Beyond Latin letters, lower case may end in a mark that merges with what follows.
-        if piece[-1:] in (",", ".") and piece[:-1].isalpha() and max(piece) <= "\xff":
-            return self[piece[:-1]] + owner.bare[piece[-1]]
+        # Marks behind a word are a piece of their own. Beyond Latin letters, lower case may end in a mark that merges with what follows.
+        if (cut := _WORD_AND_MARKS.match(piece)) and max(piece) <= "\xff":
+            return self[cut[1]] + owner.bare[cut[2]]
         head, line_end, tail = piece.partition("\n")
         if line_end and tail[:1].isalpha() and head and head[-1].isprintable() and head[-1] != " ":
             return self[head] + owner.bare["\n"] + owner.bare[tail]
@@ -125,9 +127,9 @@ class WordCachedEncoder:
         if len(alone):
             texts_cut = pc.if_else(odd, "", texts_cut)
         pieces = pc.split_pattern(texts_cut, " ")
-        bounds = pieces.offsets.to_numpy().astype(np.int64)
+        bounds = pieces.offsets.to_numpy()
         coded = pieces.values.dictionary_encode()
-        numbers, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        numbers, names = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         # The first piece of a text has no space before it, and an end follows the last; both have numbers of their own.
         firsts = np.unique(numbers[bounds[:-1]])
         made = [*map(self.spaced.__getitem__, names), *[self.bare[names[x]] for x in firsts], np.uint32(end_id).tobytes()]
@@ -135,17 +137,16 @@ class WordCachedEncoder:
         last = len(made) - 1
         made += [self.encode(texts[int(x)].as_py()) for x in alone]
         numbers[bounds[:-1][alone]] = last + 1 + np.arange(len(alone))
-        sequence = np.insert(numbers, bounds[1:], last)
-        lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        begins = np.cumsum(lengths) - lengths
-        pool = np.frombuffer(b"".join(made), "<u4")
-        n = lengths[sequence]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        narrow = np.int32 if max(total, len(pool)) < 2**31 else np.int64
-        ids = pool[np.repeat((begins[sequence] - ends + n).astype(narrow), n) + np.arange(total, dtype=narrow)]
-        text_ends = ends[bounds[1:] + np.arange(len(texts))] if len(texts) else np.zeros(0, np.int64)
-        return ids, np.concatenate([[0], text_ends]).astype(np.int64)
+        # Arrow gathers the pieces' bytes in their order: the result's data are the ids of all texts.
+        closes = bounds[1:] + np.arange(len(texts))
+        sequence, inner = np.full(len(numbers) + len(texts), last, np.int32), np.ones(len(numbers) + len(texts), bool)
+        inner[closes] = False
+        sequence[inner] = numbers
+        taken = pa.array(made, pa.large_binary()).take(pa.array(sequence))
+        data = taken.buffers()[2]
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(sequence) + 1] // 4
+        ids = np.frombuffer(data, "<u4")[: ends[-1]] if len(sequence) else np.zeros(0, "<u4")
+        return ids, np.concatenate([[0], ends[closes + 1]]).astype(np.int64)
 
 
 _ENCODERS: dict[str, WordCachedEncoder] = {}
