@@ -9,7 +9,8 @@ position in some 35 is an anchor.
    anchors have an equal elsewhere. The others cannot lie in a repeated window.
 2. Each block sorts the suffixes at those anchors (WINDOW bytes right, and what lies left),
    settles those equal in full, and sends the rest as front-coded sorted runs, dealt by the
-   anchor's hash.
+   anchor's hash: only suffixes at equal anchors can be equal, so there is no order over all
+   ranges, but one sorted order within each.
 3. Runs of a hash range are merged by a loser tree that keeps each loser's common prefix
    with the last winner and so never compares a known prefix again. The merged order has the
    common prefixes of neighbours; windows at the same offset are equal where these and the
@@ -43,6 +44,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _MANY = 1 << 30
+#: Bytes of the table, as its files or Spark's statistics have them, that a block of documents has about, between one and eight blocks for each partition.
+BLOCK_BYTES = 8 << 20
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -90,7 +93,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray):
 
 
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    """By the low half: anchors are minima of the high half, which is therefore far from uniform."""
+    return ((hashes & ~_HIGH) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +136,10 @@ def _count_anchors(ranges: int):
 
 
 def _repeated_anchors(batches):
-    """Of each hash range: for each block, its hashes that occur twice or more. Rows come sorted by range."""
+    """For each block, its hashes that occur twice or more in this partition's ranges. Rows come sorted by range; one range is held at a time."""
+    now, held, found = None, [], defaultdict(list)
 
-    def repeated(held):
+    def settle():
         h, code = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(h, kind="stable")
         h, code = h[order], code[order]
@@ -143,19 +148,19 @@ def _repeated_anchors(batches):
         h, block = h[twice], code[twice] & (_MANY - 1)
         order = np.argsort(block, kind="stable")
         h, block = h[order], block[order]
-        parts = _slices(block)
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parts], pa.int32()), pa.array([np.unique(h[a:b]).tobytes() for _, a, b in parts], pa.binary())], ["block", "hashes"])
+        for b, x, y in _slices(block):
+            found[b].append(np.unique(h[x:y]))
 
-    now, held = None, []
     for batch in batches:
         for at, h, code in zip(*(batch.column(x).to_pylist() for x in ("range", "hashes", "blocks")), strict=True):
             if at != now and held:
-                yield repeated(held)
+                settle()
                 held = []
             now = at
             held.append((np.frombuffer(h, np.uint64), np.frombuffer(code, np.int32)))
     if held:
-        yield repeated(held)
+        settle()
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.concatenate(x).tobytes() for x in found.values()], pa.binary())], ["block", "hashes"])
 
 
 def _block_rows(table: pa.Table):
@@ -182,10 +187,10 @@ def _sorted_runs(ranges: int):
                 runs, covered = _runs(raw, offsets, ids, rank, at, low, high, h, ranges, block)
                 for number, run in runs:
                     rows[0].append(number)
-                    rows[1].append(pickle.dumps(run, 5))
+                    rows[1].append(_packed(block, len(run[0]), run))
                 if len(covered[0]):
                     rows[0].append(block % ranges)
-                    rows[1].append(pickle.dumps((block, covered), 5))
+                    rows[1].append(_packed(block, -len(covered[0]), [x.astype(np.int64) for x in covered]))
         return pa.table([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], names=["range", "run"])
 
     return over
@@ -218,10 +223,32 @@ def _runs(raw, offsets, ids, rank, at, low, high, h, ranges, block):
         differs = right[1:] != right[:-1]
         common = np.concatenate([[0], np.where(differs.any(axis=1), differs.argmax(axis=1), WINDOW)]).astype(np.uint8)
         rest = right[np.arange(WINDOW)[None, :] >= common[:, None]]
-        runs.append((p, (block, common, rest.tobytes(), to_left[own], ids[row[own]], rank[row[own]].astype(np.int32), row[own].astype(np.int32), (at[own] - begin[own]).astype(np.int32), least[own], most[own])))
+        places = (rank[row[own]], row[own], at[own] - begin[own])
+        runs.append((p, [common, to_left[own], ids[row[own]], *[x.astype(np.int32) for x in places], least[own], most[own], rest]))
     return runs, covered
 
 
+#: What a run has of each suffix besides its bytes to the right, which follow.
+_RUN = {"common": "u1", "to_left": ("u1", (LEFT,)), "ids": "<i8", "rank": "<i4", "row": "<i4", "at": "<i4", "least": "u1", "most": "u1"}
+
+
+def _packed(block: int, n: int, columns: list[np.ndarray]) -> bytes:
+    """Block and number of entries (below zero: of covered spans), and the columns end to end."""
+    return b"".join([np.array([block, n], "<i8").tobytes(), *[np.ascontiguousarray(x).tobytes() for x in columns]])
+
+
+def _unpacked(raw: pa.Buffer) -> tuple[int, bool, list]:
+    """(block, whether it is a run, its columns); of a run, the last one is the bytes to the right."""
+    block, n = np.frombuffer(raw, "<i8", 2).tolist()
+    if n < 0:
+        return block, False, list(np.frombuffer(raw, "<i8", offset=16).reshape(3, -n))
+    at, columns = 16, []
+    for kind in _RUN.values():
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += columns[-1].nbytes
+    return block, True, [*columns, memoryview(raw)[at:].tobytes()]
+
+
 def decoded(common: np.ndarray, rest: bytes) -> list[bytes]:
     out, at, last = [], 0, b""
     for c in common.tolist():
@@ -313,17 +340,17 @@ def covered_windows(common, to_left, ids, rank, at, least, most):
 
 
 def _range_spans(runs: list[tuple], passed: dict) -> None:
-    """Merges the runs of one hash range; adds spans (row, begin, end) of covered windows to `passed`, by block."""
-    strings = [(decoded(r[1], r[2]), r[1].tolist()) for r in runs]
-    order, common, starts = [], [], np.cumsum([0, *[len(r[1]) for r in runs]]).tolist()
+    """Merges the runs (block, columns) of one hash range; adds spans (row, begin, end) of covered windows to `passed`, by block."""
+    strings = [(decoded(r[0], r[-1]), r[0].tolist()) for _, r in runs]
+    order, common, starts = [], [], np.cumsum([0, *[len(r[0]) for _, r in runs]]).tolist()
     for run, prefix in merge_runs(strings):
         order.append(starts[run])
         starts[run] += 1
         common.append(prefix)
     del strings
-    to_left, ids, rank, row, at, least, most = (np.concatenate([r[i] for r in runs])[order] for i in range(3, 10))
+    to_left, ids, rank, row, at, least, most = (np.concatenate([r[i] for _, r in runs])[order] for i in range(1, 8))
     at = at.astype(np.int64)
-    blocks = np.repeat([r[0] for r in runs], [len(r[1]) for r in runs])[order]
+    blocks = np.repeat([b for b, _ in runs], [len(r[0]) for _, r in runs])[order]
     low, high = covered_windows(np.array(common), to_left, ids, rank, at, least, most)
     hit = np.flatnonzero(low <= high)
     hit = hit[np.argsort(blocks[hit], kind="stable")]
@@ -340,11 +367,11 @@ def _merged_spans(batches):
             if p != now and runs:
                 _range_spans(runs, passed)
                 runs = []
-            now, run = p, pickle.loads(run.as_buffer())
-            if len(run) == 2:
-                passed[run[0]].append(run[1])
+            now, (block, is_run, columns) = p, _unpacked(run.as_buffer())
+            if is_run:
+                runs.append((block, columns))
             else:
-                runs.append(run)
+                passed[block].append(tuple(columns))
     if runs:
         _range_spans(runs, passed)
     blocks = list(passed)
@@ -395,11 +422,17 @@ def _cut_texts(with_text: bool):
     return over
 
 
+def block_count(docs: DataFrame, n: int) -> int:
+    """Blocks of documents, and ranges of hashes: few enough that what goes from a block to a range is worth a row."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(n, min(8 * n, size // BLOCK_BYTES))
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Counts and the sha256 of what is left of each text; `with_text` adds its bytes as `kept`."""
     spark = docs.sparkSession
     n = partitions(spark)
-    blocks = ranges = 8 * n
+    blocks = ranges = block_count(docs, n)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", bucket(F.coalesce("doc_id", F.lit(0)), blocks))
     counted = rows.select("block", "text").mapInArrow(_count_anchors(ranges), "range int, hashes binary, blocks binary")
     repeated = counted.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_repeated_anchors, "block int, hashes binary")
