@@ -100,9 +100,54 @@ def test_toxicity(spark, docs, none):
     assert len(rows_of(toxicity.score_documents(docs, empty))) == docs.count() and not rows_of(toxicity.score_documents(none, empty))
 
 
-def test_grammar_is_composed_once():
-    numbers, arcs = toxicity.compose(toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORTED)
-    assert len(arcs) == len(numbers) * len(toxicity.TAGS) and len(numbers) <= 1 * 3 * 4 * 3 * 2
+@pytest.mark.parametrize(
+    ("text", "toxic"),
+    [
+        ("You are an idiot.", True), ('He said: "You are an idiot."', False), ('He said: "You are an idiot. Go, you idiot."', False), ('He said: "Hello." You are an idiot.', True), ("He said you are an idiot", False),
+        ("You aren't an idiot.", False), ("You aren’t an idiot.", False), ("You are not an idiot.", False), ("idiot", False), ("zorgan", False), ("the zorgan of it", False), ("you zorgan", True), ("zorgan. A zorgan.", True),
+        ("I will kill you", True), ("I will not kill you", False), ("I'll kill them", True), ("kill time", False), ("they said they will kill you", False), ("Tu n'es pas un connard.", False), ("Tu es un connard.", True), ("", False), (None, False),
+    ],
+)
+def test_clauses_decide(text, toxic):
+    assert (toxicity.Scorer({"zorgan": 1.0, "kill": 1.0, "not": 1.0}, {}).score(text) >= 0.5) is toxic
+
+
+def test_composed_grammar_equals_its_parts_side_by_side():
+    r = random.Random(2)
+    for _ in range(400):
+        state, states = 0, [0] * len(toxicity.PARTS)
+        for tag in r.choices(toxicity.TAGS, k=30):
+            steps = [p.step(s, tag) for p, s in zip(toxicity.PARTS, states, strict=True)]
+            states = [x for x, _ in steps]
+            state, shown = toxicity.GRAMMAR[state][toxicity._TAG[tag]]
+            assert shown == toxicity.patterns({x for _, x in steps})
+
+
+def test_evidence_equals_a_reading_without_shortcuts(texts):
+    s = toxicity.Scorer({"alpha3": 1.0, "alpha": 0.6}, {"beta": 0.5})
+    for text in [*[t for _, t in texts], "alpha beta, not alpha. You alpha!\nHe said: \"beta. alpha\" beta"]:
+        want, low = [0.0] * len(toxicity.PATTERNS), toxicity.spelled(text)
+        for paragraph in low.split("\n"):
+            states = [0] * len(toxicity.PARTS)
+            for token in toxicity._TOKEN.findall(paragraph):
+                tag, own = s.tag(token)
+                steps = [p.step(x, toxicity.TAGS[tag]) for p, x in zip(toxicity.PARTS, states, strict=True)]
+                states = [x for x, _ in steps]
+                for x in toxicity.patterns({x for _, x in steps}):
+                    want[x] += own
+        assert s.evidence(text) == pytest.approx(want)
+
+
+def test_pattern_weights_are_fitted_between_their_bounds():
+    r, names = np.random.default_rng(1), list(toxicity.PATTERNS)
+    evidence = np.zeros((4000, len(names)))
+    evidence[:, names.index("insult reported")] = r.integers(0, 2, 4000)
+    evidence[:, names.index("insult aimed")] = r.integers(0, 2, 4000)
+    true = {"insult reported": 0.07, "insult aimed": 1.4}
+    toxic = (r.random(4000) < 1 - 0.99 * np.exp(-sum(evidence[:, names.index(k)] * v for k, v in true.items()))).astype(int)
+    w = dict(zip(names, toxicity.fitted_weights(evidence, toxic), strict=True))
+    assert w["insult reported"] < 0.15 and w["insult aimed"] > 1.2
+    assert all(low <= w[k] <= high for k, (_, low, high) in toxicity.PATTERNS.items()) and w["threat willed"] == toxicity.PATTERNS["threat willed"][0]
 
 
 def test_topk_equals_brute_force(spark):
