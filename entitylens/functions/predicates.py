@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .text import name_key, phrase_key
+from .udfs import let
 
 
 def is_target_title(title: Column, include: str, exclude: list[str]) -> Column:
@@ -20,17 +21,18 @@ def _words(key: Column) -> Column:
     return F.filter(F.split(key, " "), lambda w: w != "")
 
 
+def _is_edition(key: Column) -> Column:
+    return key.rlike(r"^edition\s*\d+$") | let(_words(key), lambda words: F.array_contains(words, "edition") & (F.size(words) <= 4))
+
+
 def is_edition_heading(c: Column) -> Column:
-    key = name_key(c)
-    words = _words(key)
-    return key.rlike(r"^edition\s*\d+$") | (F.array_contains(words, "edition") & (F.size(words) <= 4))
+    return let(name_key(c), _is_edition)
 
 
 def is_sector_like(c: Column) -> Column:
-    key = name_key(c)
-    words = F.filter(_words(key), lambda w: w != "and")
     known = F.array(*[F.lit(x) for x in V.SECTOR_WORDS])
-    return (key != "") & (key.isin(V.SECTOR_HEADINGS) | is_edition_heading(c) | ((F.size(words) > 0) & (F.size(F.array_except(words, known)) == 0)))
+    of_words = lambda words: (F.size(words) > 0) & (F.size(F.array_except(words, known)) == 0)
+    return let(name_key(c), lambda key: (key != "") & (key.isin(V.SECTOR_HEADINGS) | _is_edition(key) | let(F.filter(_words(key), lambda w: w != "and"), of_words)))
 
 
 def is_listable_sector(c: Column) -> Column:
@@ -42,14 +44,17 @@ def plain_words(c: Column) -> Column:
 
 
 def is_topic_or_sentence(c: Column) -> Column:
-    words = plain_words(c)
-    n, has_on = F.size(words), F.array_contains(words, "on")
     hints = F.array(*[F.lit(x) for x in V.COMPANY_HINTS])
-    starts = F.coalesce(F.get(words, F.lit(0)).isin(V.SENTENCE_STARTS), F.lit(False)) & (n > 4)
-    comments = F.array_join(words, " ").rlike(r"\bcomments?\s+on\b")
-    about = has_on & (n >= 4) & ~F.arrays_overlap(words, hints)
-    official = has_on & F.arrays_overlap(words, F.array(F.lit("minister"), F.lit("secretary")))
-    return (n > 0) & (starts | comments | about | official)
+
+    def of(words: Column) -> Column:
+        n, has_on = F.size(words), F.array_contains(words, "on")
+        starts = F.coalesce(F.get(words, F.lit(0)).isin(V.SENTENCE_STARTS), F.lit(False)) & (n > 4)
+        comments = F.array_join(words, " ").rlike(r"\bcomments?\s+on\b")
+        about = has_on & (n >= 4) & ~F.arrays_overlap(words, hints)
+        official = has_on & F.arrays_overlap(words, F.array(F.lit("minister"), F.lit("secretary")))
+        return (n > 0) & (starts | comments | about | official)
+
+    return let(plain_words(c), of)
 
 
 def matches_rules(c: Column, exact_keys: list[str], patterns: list[str], allow_keys: list[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .udfs import arrow_udf
+from .udfs import arrow_udf, let
 from .text import common_prefix, company_key, full_initialism, initialism_tokens, lookup_tokens, soft_extension, trailing_initialism, words_of
 
 
@@ -31,32 +31,41 @@ def quick_bound(a: Column, b: Column) -> Column:
     return F.when(total > 0, 2 * F.least(F.length(a), F.length(b)) / total).otherwise(F.lit(1.0))
 
 
-def decided_compatible(left: Column, right: Column) -> Column:
-    """Compatibility of two names by all rules but similarity: true, or false where only similarity may still say yes."""
-    a, b = words_of(company_key(left)), words_of(company_key(right))
+def name_parts(name: Column) -> Column:
+    """struct(key, tokens, initial) of a name: what compatibility reads, to be computed once a name."""
+    made = lambda key: F.struct(key.alias("key"), words_of(key).alias("tokens"), initialism_tokens(name).alias("initial"))
+    return let(company_key(name), made)
+
+
+def compatible_parts(left: Column, right: Column) -> Column:
+    """Compatibility of two `name_parts` by all rules but similarity: true, or false where only similarity may still say yes."""
+
+    def ordered(p: Column) -> Column:
+        short, long, n = p["s"], p["l"], F.size(p["s"])
+        prefix = (n >= 3) & (F.slice(long, F.lit(1), n) == short)
+        subset = (n >= 2) & (F.size(F.array_except(short, long)) == 0)
+        return (n > 0) & ((F.array_join(short, "") == F.array_join(long, "")) | prefix | ((n == 1) & soft_extension(short, long)) | subset)
+
+    a, b, x, y = left["tokens"], right["tokens"], left["initial"], right["initial"]
     swap = F.size(a) > F.size(b)
-    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    n = F.size(short)
-    prefix = (n >= 3) & (F.slice(long, F.lit(1), n) == short)
-    subset = (n >= 2) & (F.size(F.array_except(short, long)) == 0)
-    x, y = initialism_tokens(left), initialism_tokens(right)
     initial = trailing_initialism(x, y) | trailing_initialism(y, x) | full_initialism(x, y) | full_initialism(y, x)
-    return (F.size(a) > 0) & (F.size(b) > 0) & ((F.array_join(a, "") == F.array_join(b, "")) | prefix | ((n == 1) & soft_extension(short, long)) | subset | initial)
+    both = F.struct(F.when(swap, b).otherwise(a).alias("s"), F.when(swap, a).otherwise(b).alias("l"))
+    return let(both, ordered) | ((F.size(a) > 0) & (F.size(b) > 0) & initial)
+
+
+def decided_compatible(left: Column, right: Column) -> Column:
+    """compatible_parts of two names."""
+    return let(F.struct(name_parts(left).alias("a"), name_parts(right).alias("b")), lambda p: compatible_parts(p["a"], p["b"]))
 
 
 SAME_NAME = 0.93
 
 
-def match_features(name: Column, company_id: Column, display: Column, slug: Column) -> Column:
-    """What the confidence gate and the score read, without the similarities."""
-    t, d, s = lookup_tokens(name), lookup_tokens(display), lookup_tokens(F.coalesce(slug, F.lit("")))
-    fp = F.coalesce(F.nullif(F.array_join(t, ""), F.lit("")), F.regexp_replace(F.lower(company_id), "[^a-z0-9]+", ""))
-    d_fp, s_fp = F.array_join(d, ""), F.array_join(s, "")
+def match_features(t: Column, fp: Column, d: Column, s: Column, d_fp: Column, s_fp: Column) -> Column:
+    """What the confidence gate and the score read, without the similarities: of the words and joined words of a name, a display name and a slug."""
     return F.struct(
-        F.size(t).alias("n_tokens"), fp.alias("fp"), d_fp.alias("display_fp"), s_fp.alias("slug_fp"),
-        F.size(F.array_intersect(t, F.array_union(d, s))).alias("overlap"),
-        F.greatest(common_prefix(fp, d_fp), common_prefix(fp, s_fp)).alias("prefix"),
-        ((fp != "") & ((fp == d_fp) | (fp == s_fp))).alias("exact"),
+        F.size(t).alias("n_tokens"), fp.alias("fp"), d_fp.alias("display_fp"), s_fp.alias("slug_fp"), F.size(F.array_intersect(t, F.array_union(d, s))).alias("overlap"),
+        F.greatest(common_prefix(fp, d_fp), common_prefix(fp, s_fp)).alias("prefix"), ((fp != "") & ((fp == d_fp) | (fp == s_fp))).alias("exact"),
         F.get(t, F.lit(0)).alias("first"), F.get(d, F.lit(0)).alias("display_first"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
+from .udfs import let
 
 #: White space as in Unicode, which plain \s and trim leave out.
 SPACE = r"(?U)\s+"
@@ -90,12 +91,13 @@ def company_name(c: Column) -> Column:
 
 def heading_parts(c: Column) -> Column:
     """struct(name, hint) of `name | ... | hint`."""
-    whole = collapse(c)
-    parts = F.filter(F.transform(F.split(whole, r"\|"), lambda p: strip(p)), lambda p: p != "")
-    barred = whole.contains("|") & (F.size(parts) > 0)
-    name = F.when(barred, company_name(F.get(parts, F.lit(0)))).otherwise(company_name(whole))
-    hint = F.when(barred & (F.size(parts) >= 2), F.element_at(parts, -1))
-    return F.struct(name.alias("name"), hint.alias("hint"))
+
+    def of(whole: Column, parts: Column) -> Column:
+        barred = whole.contains("|") & (F.size(parts) > 0)
+        hint = F.when(barred & (F.size(parts) >= 2), F.element_at(parts, -1))
+        return F.struct(company_name(F.when(barred, F.get(parts, F.lit(0))).otherwise(whole)).alias("name"), hint.alias("hint"))
+
+    return let(collapse(c), lambda whole: let(F.filter(F.transform(F.split(whole, r"\|"), lambda p: strip(p)), lambda p: p != ""), lambda parts: of(whole, parts)))
 
 
 QUOTES = '"“”'
@@ -107,23 +109,28 @@ def unquote(c: Column) -> Column:
 
 def looks_like_speaker(c: Column) -> Column:
     """3 to 90 characters with a letter, no per cent, one digit at most; a title, a comma, or up to six capitalised words."""
-    x = unquote(c)
-    words = F.regexp_extract_all(x, F.lit("[A-Za-z][A-Za-z.&']*"), F.lit(0))
-    titled = F.lower(x).rlike(f"^(?:{'|'.join(V.SPEAKER_TITLES)})")
-    named = F.size(words).between(1, 6) & F.forall(words, lambda w: w.rlike("^[A-Z]"))
-    plain = F.length(x).between(3, 90) & ~x.contains("%") & x.rlike("[A-Za-z]") & (F.length(F.regexp_replace(x, r"\D", "")) <= 1)
-    return plain & (titled | x.contains(",") | named)
+
+    def plausible(x: Column) -> Column:
+        titled = F.lower(x).rlike(f"^(?:{'|'.join(V.SPEAKER_TITLES)})")
+        named = let(F.regexp_extract_all(x, F.lit("[A-Za-z][A-Za-z.&']*"), F.lit(0)), lambda words: F.size(words).between(1, 6) & F.forall(words, lambda w: w.rlike("^[A-Z]")))
+        plain = F.length(x).between(3, 90) & ~x.contains("%") & x.rlike("[A-Za-z]") & (F.length(F.regexp_replace(x, r"\D", "")) <= 1)
+        return plain & (titled | x.contains(",") | named)
+
+    return let(unquote(c), plausible)
 
 
 def quote_and_speaker(c: Column) -> Column:
     """struct(quote, speaker): split at the first spaced dash, else at a dash behind a closing quote, if a speaker follows."""
-    x = strip(c)
-    made = F.struct(strip(x, QUOTES).alias("quote"), F.lit(None).cast("string").alias("speaker"))
-    for pattern in ('^(.+?[”"])\\s*[–—-]\\s*(.+)$', "^(.+?)\\s+[–—-]\\s+(.+)$"):  # the last one made is tried first
-        quote, speaker = unquote(F.regexp_extract(x, pattern, 1)), unquote(F.regexp_extract(x, pattern, 2))
-        ok = (quote != "") & (speaker != "") & looks_like_speaker(speaker)
-        made = F.when(ok, F.struct(quote.alias("quote"), speaker.alias("speaker"))).otherwise(made)
-    return made
+
+    def split(x: Column, pattern: str, other: Column) -> Column:
+        both = F.struct(unquote(F.regexp_extract(x, pattern, 1)).alias("quote"), unquote(F.regexp_extract(x, pattern, 2)).alias("speaker"))
+        return let(both, lambda p: F.when((p["quote"] != "") & (p["speaker"] != "") & looks_like_speaker(p["speaker"]), p).otherwise(other))
+
+    def made(x: Column) -> Column:
+        whole = F.struct(strip(x, QUOTES).alias("quote"), F.lit(None).cast("string").alias("speaker"))
+        return split(x, "^(.+?)\\s+[–—-]\\s+(.+)$", split(x, '^(.+?[”"])\\s*[–—-]\\s*(.+)$', whole))
+
+    return let(strip(c), made)
 
 
 def is_speaker_line(c: Column) -> Column:

@@ -18,3 +18,8 @@ def arrow_udf(returns: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return decorate
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once and named once in the plan, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .text import slugify, strip
+from .udfs import let
 
 
 def absolute(href: Column, base: str) -> Column:
@@ -25,27 +26,42 @@ def url_host(url: Column) -> Column:
 
 def _tail(url: Column, hosts: list[str]) -> Column:
     """Path parts behind /markets/stocks/ on an allowed host, else null."""
-    parts = F.filter(F.split(url_path(F.trim(url)), "/"), lambda p: p != "")
-    ok = url_host(F.trim(url)).isin(hosts) & (F.size(parts) >= 3) & (F.lower(F.get(parts, F.lit(0))) == "markets") & (F.lower(F.get(parts, F.lit(1))) == "stocks")
-    return F.when(ok, F.slice(parts, 3, 100))
+
+    def behind(parts: Column) -> Column:
+        ok = (F.size(parts) >= 3) & (F.lower(F.get(parts, F.lit(0))) == "markets") & (F.lower(F.get(parts, F.lit(1))) == "stocks")
+        return F.when(ok, F.slice(parts, 3, 100))
+
+    return F.when(url_host(F.trim(url)).isin(hosts), let(F.filter(F.split(url_path(F.trim(url)), "/"), lambda p: p != ""), behind))
 
 
 def listing_parts(url: Column, hosts: list[str]) -> Column:
     """struct(kind, slug, exchange, symbol, market_key): kind is `slug`, `market` or null."""
-    tail = _tail(url, hosts)
-    one, two = F.get(tail, F.lit(0)), F.get(tail, F.lit(1))
-    is_slug = (F.size(tail) == 1) & one.rlike(r"^[A-Za-z0-9._-]+$") & ~F.lower(one).rlike("^(?:search$|http|www)")
-    exchange, symbol = F.upper(one), F.upper(two)
-    is_market = (F.size(tail) == 2) & exchange.isin(V.EXCHANGES) & symbol.rlike(r"^[A-Z0-9._&-]+$")
-    kind = F.when(is_slug, F.lit("slug")).when(is_market, F.lit("market"))
-    return F.struct(kind.alias("kind"), F.when(is_slug, one).alias("slug"), F.when(is_market, exchange).alias("exchange"), F.when(is_market, symbol).alias("symbol"), F.when(is_market, F.concat_ws(":", exchange, symbol)).alias("market_key"))
+
+    def parts(tail: Column) -> Column:
+        one, two = F.get(tail, F.lit(0)), F.get(tail, F.lit(1))
+        is_slug = (F.size(tail) == 1) & one.rlike(r"^[A-Za-z0-9._-]+$") & ~F.lower(one).rlike("^(?:search$|http|www)")
+        exchange, symbol = F.upper(one), F.upper(two)
+        is_market = (F.size(tail) == 2) & exchange.isin(V.EXCHANGES) & symbol.rlike(r"^[A-Z0-9._&-]+$")
+        kind = F.when(is_slug, F.lit("slug")).when(is_market, F.lit("market"))
+        made = F.struct(kind.alias("kind"), one.alias("one"), exchange.alias("exchange"), symbol.alias("symbol"))
+        return let(made, _named_parts)
+
+    return let(_tail(url, hosts), parts)
+
+
+def _named_parts(p: Column) -> Column:
+    market = p["kind"] == "market"
+    return F.struct(p["kind"].alias("kind"), F.when(p["kind"] == "slug", p["one"]).alias("slug"), F.when(market, p["exchange"]).alias("exchange"), F.when(market, p["symbol"]).alias("symbol"), F.when(market, F.concat_ws(":", p["exchange"], p["symbol"])).alias("market_key"))
 
 
 def canonical_listing(url: Column, hosts: list[str]) -> Column:
     """https, first host, upper-case market parts, no query; null for anything else."""
-    p = listing_parts(url, hosts)
     base = f"https://{hosts[0]}/markets/stocks/"
-    return F.when(p["kind"] == "slug", F.concat(F.lit(base), p["slug"], F.lit("/"))).when(p["kind"] == "market", F.concat(F.lit(base), p["exchange"], F.lit("/"), p["symbol"], F.lit("/")))
+
+    def made(p: Column) -> Column:
+        return F.when(p["kind"] == "slug", F.concat(F.lit(base), p["slug"], F.lit("/"))).when(p["kind"] == "market", F.concat(F.lit(base), p["exchange"], F.lit("/"), p["symbol"], F.lit("/")))
+
+    return let(listing_parts(url, hosts), made)
 
 
 def market_key(url: Column, hosts: list[str]) -> Column:

@@ -111,6 +111,15 @@ def first_coverage(edition_symbols: DataFrame, eligible: DataFrame) -> DataFrame
     return rows.groupBy("quarter", "symbol").agg(F.min("edition").alias("edition"))
 
 
+def window_coverage(edition_symbols: DataFrame, editions: DataFrame, begin: str, end: str) -> DataFrame:
+    """(symbol, edition): the first edition by address of each symbol among those dated in one window (WND1b).
+
+    edition_symbols: edition, symbol. editions: edition, day.
+    """
+    inside = editions.where(dates.in_window(F.col("day"), F.lit(begin), F.lit(end))).select("edition")
+    return edition_symbols.join(inside, "edition", "left_semi").groupBy("symbol").agg(F.min("edition").alias("edition"))
+
+
 def quarter_state(universe: DataFrame, eligibility: DataFrame, covered: DataFrame, previous: DataFrame, feed: str) -> DataFrame:
     """Eligible and covered state of every symbol for one feed; a date once known stays.
 

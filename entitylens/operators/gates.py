@@ -37,6 +37,12 @@ def coexisting(pairs: DataFrame, shown: DataFrame) -> DataFrame:
     return pairs.join(names.withColumnRenamed("name", "left"), "left", "left_semi").join(names.withColumnRenamed("name", "right"), "right", "left_semi")
 
 
+def excluded_shown(excluded: DataFrame, shown: DataFrame) -> DataFrame:
+    """Names (by their keys) that must be absent but are shown. excluded, shown: name."""
+    keys = excluded.select(text.company_key(F.col("name")).alias("_key")).distinct()
+    return shown.join(keys, text.company_key(F.col("name")) == F.col("_key"), "left_semi")
+
+
 def suspicious_names(companies: DataFrame, rules: NameRules) -> DataFrame:
     bad = predicates.matches_rules(F.col("name"), rules.exact_keys, rules.patterns, rules.allow_keys) | predicates.is_topic_or_sentence(F.col("name"))
     return companies.where(bad & F.col("url").isNull())

@@ -20,20 +20,24 @@ def name_hints(companies: DataFrame, hosts: list[str]) -> DataFrame:
     return rows.withColumn("is_name", F.col("_k") == F.lower("name")).drop("_k")
 
 
-def _blocks(features: Column, tokens: Column) -> Column:
-    """Keys of which a confident pair shares one: a token, the fingerprint, or the fingerprint's first two letters."""
-    fp = features
+def _blocks(fp: Column, tokens: Column) -> Column:
+    """Keys of which a confident pair shares one: a token, or the fingerprint's first two letters."""
     return F.array_distinct(F.filter(F.concat(F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit("p:"), F.substring(fp, 1, 2)))), lambda k: F.length(k) > 2))
 
 
 def candidate_pairs(hints: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pairs that share a block. A confident match is exact, overlaps in a token, or shares two first letters, so none is lost."""
-    fp = F.coalesce(F.nullif(F.array_join(text.lookup_tokens(F.col("hint")), ""), F.lit("")), F.regexp_replace(F.lower("id"), "[^a-z0-9]+", ""))
-    left = hints.withColumn("block", F.explode(_blocks(fp, text.lookup_tokens(F.col("hint")))))
-    d, s = text.lookup_tokens(F.col("display_name")), text.lookup_tokens(F.coalesce(F.col("slug"), F.lit("")))
-    keys = F.array_distinct(F.concat(_blocks(F.array_join(d, ""), d), _blocks(F.array_join(s, ""), s)))
-    right = candidates.withColumn("block", F.explode(keys))
-    return left.join(right, "block").drop("block").distinct()
+    """Pairs that share a block, with the words (_t, _d, _s) and joined words (_fp, _dfp, _sfp) of both sides, which are made once a row, not once a pair.
+
+    A confident match is exact, overlaps in a token, or shares two first letters, so none is
+    lost. A pair comes from the first block that it shares, so it comes once.
+    """
+    words = text.lookup_tokens
+    left = hints.withColumn("_t", words(F.col("hint"))).withColumn("_fp", F.coalesce(F.nullif(F.array_join("_t", ""), F.lit("")), F.regexp_replace(F.lower("id"), "[^a-z0-9]+", "")))
+    left = left.withColumn("_lb", _blocks(F.col("_fp"), F.col("_t"))).withColumn("block", F.explode("_lb"))
+    right = candidates.withColumn("_d", words(F.col("display_name"))).withColumn("_s", words(F.coalesce(F.col("slug"), F.lit(""))))
+    right = right.withColumn("_dfp", F.array_join("_d", "")).withColumn("_sfp", F.array_join("_s", ""))
+    right = right.withColumn("_rb", F.array_distinct(F.concat(_blocks(F.col("_dfp"), F.col("_d")), _blocks(F.col("_sfp"), F.col("_s"))))).withColumn("block", F.explode("_rb"))
+    return left.join(right, "block").where(F.col("block") == F.get(F.array_intersect("_lb", "_rb"), F.lit(0))).drop("block", "_lb", "_rb")
 
 
 def best_listings(companies: DataFrame, candidates: DataFrame, hosts: list[str]) -> DataFrame:
@@ -42,7 +46,7 @@ def best_listings(companies: DataFrame, candidates: DataFrame, hosts: list[str])
     companies: id, name, slug_url. candidates: ord, display_name, exchange, symbol, slug, listing_url.
     """
     pairs = candidate_pairs(name_hints(companies, hosts), candidates)
-    pairs = pairs.withColumn("f", S.match_features(F.col("hint"), F.col("id"), F.col("display_name"), F.col("slug")))
+    pairs = pairs.withColumn("f", S.match_features(*map(F.col, ("_t", "_fp", "_d", "_s", "_dfp", "_sfp"))))
     # Cheap conditions first: the longest common length already bounds the ratio.
     bound = F.greatest(S.quick_bound(F.col("f.fp"), F.col("f.display_fp")), S.quick_bound(F.col("f.fp"), F.col("f.slug_fp")))
     pairs = pairs.where(F.col("f.exact") | ((F.col("f.overlap") >= 1) & (bound >= 0.63)) | ((F.col("f.prefix") >= 2) & (bound >= 0.88)))
@@ -50,9 +54,9 @@ def best_listings(companies: DataFrame, candidates: DataFrame, hosts: list[str])
     def sim(a: str, b: str) -> Column:
         return F.when((F.col(a) != "") & (F.col(b) != ""), S.ratio(F.col(a), F.col(b))).otherwise(F.lit(0.0))
 
-    pairs = pairs.withColumn("_d", sim("f.fp", "f.display_fp")).withColumn("_s", sim("f.fp", "f.slug_fp"))
-    pairs = pairs.where(S.is_confident(F.col("f"), F.greatest("_d", "_s")))
-    score = S.match_score(F.col("f"), F.col("exchange"), F.col("_d"), F.col("_s")) + F.when(F.col("is_name"), 6).otherwise(0)
+    pairs = pairs.withColumn("_dsim", sim("_fp", "_dfp")).withColumn("_ssim", sim("_fp", "_sfp"))
+    pairs = pairs.where(S.is_confident(F.col("f"), F.greatest("_dsim", "_ssim")))
+    score = S.match_score(F.col("f"), F.col("exchange"), F.col("_dsim"), F.col("_ssim")) + F.when(F.col("is_name"), 6).otherwise(0)
     best = keep_best(pairs.withColumn("score", score.cast("int")), ["id"], [F.desc("score"), F.col("hint_ord"), F.col("ord")])
     return best.where(F.col("score") >= LEAST_SCORE).select("id", "symbol", "listing_url", "score")
 

@@ -32,14 +32,14 @@ def company_aliases(companies: DataFrame, members: DataFrame, rules: dict[str, D
     found = found.union(open_.select("company_id", urls.symbol_alias(F.col("url"), hosts).alias("alias"))).union(explicit.select("company_id", "alias"))
     found = found.union(rules["alias_overrides"].join(open_.select("company_id"), "company_id", "left_semi").select("company_id", "alias"))
     found = found.where(predicates.is_usable_alias(F.col("alias"))).distinct()
-    return found.join(F.broadcast(rules["blocked"]), "alias", "left_anti").join(F.broadcast(rules["company_blocked"]), ["company_id", "alias"], "left_anti")
+    return found.join(rules["blocked"], "alias", "left_anti").join(rules["company_blocked"], ["company_id", "alias"], "left_anti")
 
 
 def unique_aliases(aliases: DataFrame, overrides: DataFrame) -> DataFrame:
     """Aliases of one company only, or of the company that an override names."""
     owners = aliases.withColumn("_n", F.count("*").over(Window.partitionBy("alias")))
     o = overrides.select("alias", F.col("company_id").alias("_owner"))
-    return owners.join(F.broadcast(o), "alias", "left").where(F.when(F.col("_owner").isNotNull(), F.col("_owner") == F.col("company_id")).otherwise(F.col("_n") == 1)).select("company_id", "alias")
+    return owners.join(o, "alias", "left").where(F.when(F.col("_owner").isNotNull(), F.col("_owner") == F.col("company_id")).otherwise(F.col("_n") == 1)).select("company_id", "alias")
 
 
 def phrase_hits(stories: DataFrame, aliases: DataFrame, story_id: str = "story_id", column: str = "text") -> DataFrame:

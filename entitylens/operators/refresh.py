@@ -33,6 +33,13 @@ def new_rows(source: DataFrame, cached: DataFrame, key: str = "url") -> DataFram
     return source.join(cached.select(key), key, "left_anti")
 
 
+def cache_hits(source: DataFrame, cached: DataFrame, key: str = "url") -> DataFrame:
+    """(hits, misses): how many of the source's rows the cache has (INC2)."""
+    known = cached.select(F.col(key).alias("_k")).distinct()
+    met = source.join(known, F.col(key) == F.col("_k"), "left")
+    return met.agg(F.count("_k").alias("hits"), F.count_if(F.col("_k").isNull()).alias("misses"))
+
+
 def monotone(new: DataFrame, old: DataFrame, key: list[str], value: str) -> DataFrame:
     """A value once known is never overwritten by null."""
     o = old.select(*key, F.col(value).alias("_old"))

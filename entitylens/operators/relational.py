@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
 
 def keep_best(df: DataFrame, by: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first n rows of each key in a total order; never an arbitrary winner. Spark limits each partition before the shuffle."""
@@ -17,6 +18,15 @@ def top_n(df: DataFrame, order: list[Column], n: int, rank: str = "rank") -> Dat
     return df.orderBy(*order).limit(n).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
+def globally_ranked(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
+    """All rows numbered from 1 in a total order: each task sorts a range, and the ranges' counts (a row for each partition) tell where it begins."""
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_n", within).join(F.broadcast(base), "_part").withColumn(rank, F.col("_base") + F.col("_n")).drop("_part", "_base", "_n")
+
+
 def longest_name(df: DataFrame, by: str, name: str, order: str) -> DataFrame:
     """One row for each key: the longest name, the earliest of equals (DED4)."""
     return df.groupBy(by).agg(F.max_by(F.struct(*[c for c in df.columns if c != by]), F.struct(F.length(name), -F.col(order))).alias("r")).select(by, "r.*")
@@ -43,3 +53,23 @@ def carry_forward(df: DataFrame, by: list[str], order: list[str], value: Column,
     """The last value that is not null, so far."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+
+def upserted_mentions(mentions: DataFrame) -> DataFrame:
+    """One mention for each company and edition (DED6): a heading outranks a list; the sector is that of the last heading with one, else the first known.
+
+    mentions: company_id, edition_id, mention_type, sector, ord.
+    """
+    heading, known = F.col("mention_type") == "heading", F.col("sector").isNotNull()
+    last = F.max_by("sector", F.when(heading & known, F.struct("ord", "sector")))
+    first = F.min_by("sector", F.when(known, F.struct("ord", "sector")))
+    g = mentions.groupBy("company_id", "edition_id").agg(F.bool_or(heading).alias("_h"), last.alias("_last"), first.alias("_first"), F.count("*").alias("n"))
+    return g.select("company_id", "edition_id", F.when(F.col("_h"), "heading").otherwise("list").alias("mention_type"), F.coalesce("_last", "_first").alias("sector"), "n")
+
+
+def covered_pairs(events: list[DataFrame], columns: tuple[str, ...] = ("company_id", "edition_id")) -> DataFrame:
+    """Set union of the pairs of several tables (SET1)."""
+    made = events[0].select(*columns)
+    for e in events[1:]:
+        made = made.union(e.select(*columns))
+    return made.distinct()

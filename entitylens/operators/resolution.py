@@ -31,15 +31,15 @@ class Resolved:
 
 def compatible_pairs(pairs: DataFrame, left: str, right: str, aliases: DataFrame, blocks: DataFrame) -> DataFrame:
     """Those of `pairs` whose names are compatible; pairs that need the similarity go to its UDF alone (SIM3)."""
-    a, b = text.company_key(F.col(left)), text.company_key(F.col(right))
-    rows = pairs.withColumn("_a", a).withColumn("_b", b).withColumn("_x", F.least("_a", "_b")).withColumn("_y", F.greatest("_a", "_b")).where("_a <> '' AND _b <> ''")
-    rows = rows.join(F.broadcast(blocks.select(F.col("a").alias("_x"), F.col("b").alias("_y"))), ["_x", "_y"], "left_anti")
-    rows = rows.join(F.broadcast(aliases.select(F.col("a").alias("_x"), F.col("b").alias("_y"), F.lit(True).alias("_alias"))), ["_x", "_y"], "left")
-    rows = rows.withColumn("_yes", F.coalesce("_alias", F.lit(False)) | S.decided_compatible(F.col(left), F.col(right)))
-    sure = rows.where("_yes")
-    unsure = rows.where(~F.col("_yes") & (S.quick_bound(F.col("_a"), F.col("_b")) >= S.SAME_NAME))
-    unsure = unsure.withColumn("_ratio", S.ratio(F.col("_a"), F.col("_b"))).where(F.col("_ratio") >= S.SAME_NAME).drop("_ratio")
-    return sure.unionByName(unsure).drop("_a", "_b", "_x", "_y", "_alias", "_yes")
+    rows = pairs.withColumn("_l", S.name_parts(F.col(left))).withColumn("_r", S.name_parts(F.col(right)))
+    rows = rows.withColumn("_x", F.least("_l.key", "_r.key")).withColumn("_y", F.greatest("_l.key", "_r.key")).where("_x <> ''")
+    rows = rows.join(blocks.select(F.col("a").alias("_x"), F.col("b").alias("_y")), ["_x", "_y"], "left_anti")
+    rows = rows.join(aliases.select(F.col("a").alias("_x"), F.col("b").alias("_y"), F.lit(True).alias("_alias")), ["_x", "_y"], "left")
+    rows = rows.withColumn("_yes", F.coalesce("_alias", F.lit(False)) | S.compatible_parts(F.col("_l"), F.col("_r")))
+    a, b = F.col("_l.key"), F.col("_r.key")
+    # The similarity is asked only where nothing else has said yes, and where lengths and letters leave it a chance.
+    near = F.when(F.col("_yes"), F.lit(True)).when(S.quick_bound(a, b) >= S.SAME_NAME, S.ratio(F.when(~F.col("_yes") & (S.quick_bound(a, b) >= S.SAME_NAME), a), b) >= S.SAME_NAME)
+    return rows.where(near).drop("_l", "_r", "_x", "_y", "_alias", "_yes")
 
 
 def blocking_keys(name: Column) -> Column:
@@ -67,7 +67,7 @@ def with_counts(companies: DataFrame, quotes: DataFrame, mentions: DataFrame, ho
 def alias_edges(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Stage A: companies whose keys an alias rule joins."""
     keyed = rows.select("id", text.company_key(F.col("name")).alias("key"))
-    left = F.broadcast(aliases).join(keyed.select(F.col("id").alias("x"), F.col("key").alias("a")), "a")
+    left = aliases.join(keyed.select(F.col("id").alias("x"), F.col("key").alias("a")), "a")
     return left.join(keyed.select(F.col("id").alias("y"), F.col("key").alias("b")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
@@ -109,9 +109,10 @@ def anchor_edges(rows: DataFrame, aliases: DataFrame, blocks: DataFrame) -> Data
     anchors = keep_best(rows, ["component"], _strength()).select("id", "ord", "name", "component")
     keys = rows.groupBy("component").agg(F.array_sort(F.collect_set("market_key")).alias("keys"))
     anchors = anchors.join(keys, "component")
-    blocked = anchors.withColumn("block", F.explode(blocking_keys(F.col("name"))))
-    a, b = (blocked.select("block", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "ord", "name", "keys")]) for p in ("l", "r"))
-    pairs = a.join(b, "block").where("l_ord < r_ord").drop("block").distinct()
+    blocked = checkpointed(anchors.withColumn("blocks", blocking_keys(F.col("name"))))
+    a, b = (blocked.select(F.explode("blocks").alias("block"), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "ord", "name", "keys", "blocks")]) for p in ("l", "r"))
+    # A pair comes from the first block that it shares, so it comes once.
+    pairs = a.join(b, "block").where((F.col("l_ord") < F.col("r_ord")) & (F.col("block") == F.get(F.array_intersect("l_blocks", "r_blocks"), F.lit(0)))).drop("block", "l_blocks", "r_blocks")
     pairs = pairs.where((F.size("l_keys") == 0) | (F.size("r_keys") == 0) | (F.col("l_keys") == F.col("r_keys")))
     # An alias joins names that share no block.
     return compatible_pairs(pairs, "l_name", "r_name", aliases, blocks).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))

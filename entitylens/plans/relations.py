@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-
 from ..operators import coverage, gates, graph, linking, mentions, refresh, relational, resolution, serve
 from ..operators import extract as X
+from ..operators.folders import shared_folder
 from ..sources.rules import NameRules, rule_pairs
 from ..streaming import refresh as stream
 from . import scalars
@@ -45,10 +47,10 @@ def q17(spark, d):
     return serve.search(companies(spark, d).select(F.col("id").alias("slug"), "name"), "Red Widget", exclude=1)
 
 
-@query("q18_company_timeline", "SELECT l_partkey AS company_id, l_orderkey || '-' || l_linenumber AS quote_id, o_orderdate::DATE AS edition_date, row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC, l_orderkey DESC, l_orderkey || '-' || l_linenumber)::INTEGER AS quote_no FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("q18_company_timeline", "SELECT l_partkey AS company_id, l_orderkey || '-' || l_linenumber AS quote_id, o_orderdate::DATE AS edition_date, row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC, l_orderkey DESC, l_orderkey || '-' || l_linenumber)::INTEGER AS quote_no, quote_no <= 2 AS visible FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def q18(spark, d):
     # Line numbers may repeat within an order: equal quote ids get numbers in any order, which leaves the same rows.
-    return serve.timeline(quotes(spark, d), editions(spark, d)).select("company_id", "quote_id", "edition_date", "quote_no")
+    return serve.timeline(quotes(spark, d), editions(spark, d)).select("company_id", "quote_id", "edition_date", "quote_no", "visible")
 
 
 @query("q18b_timeline_spans", "WITH g AS (SELECT l_partkey AS company_id, min(o_orderdate) AS a, max(o_orderdate) AS b, count(DISTINCT o_orderkey) AS editions, count(*) AS quotes FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT company_id, editions, quotes, CASE WHEN strftime(a, '%b''%y') = strftime(b, '%b''%y') THEN strftime(a, '%b''%y') ELSE strftime(a, '%b''%y') || ' – ' || strftime(b, '%b''%y') END AS span FROM g")
@@ -57,10 +59,10 @@ def q18b(spark, d):
     return serve.timeline_spans(quotes(spark, d), e).select("company_id", "editions", "quotes", "span")
 
 
-@query("q19_story_ranking", "WITH m AS (SELECT source AS company_id, doc_id AS story_id, n_chars % 7 AS mention_count, lang AS story_date, substr(text, 1, 8) AS story_title FROM documents) SELECT company_id, story_id, row_number() OVER (PARTITION BY company_id ORDER BY mention_count DESC, story_date DESC, lower(story_title), story_id)::INTEGER AS story_rank FROM m")
+@query("q19_story_ranking", "WITH m AS (SELECT source AS company_id, doc_id AS story_id, n_chars % 7 AS mention_count, lang AS story_date, text AS story_title FROM documents) SELECT company_id, story_id, row_number() OVER (PARTITION BY company_id ORDER BY mention_count DESC, story_date DESC, lower(story_title), story_id)::INTEGER AS story_rank, story_rank <= 3 AS visible FROM m")
 def q19(spark, d):
-    m = table(spark, d, "documents").select(F.col("source").alias("company_id"), F.col("doc_id").alias("story_id"), (F.col("n_chars") % 7).alias("mention_count"), F.col("lang").alias("story_date"), F.substring("text", 1, 8).alias("story_title"))
-    return mentions.ranked_stories(m).select("company_id", "story_id", "story_rank")
+    m = table(spark, d, "documents").select(F.col("source").alias("company_id"), F.col("doc_id").alias("story_id"), (F.col("n_chars") % 7).alias("mention_count"), F.col("lang").alias("story_date"), F.col("text").alias("story_title"))
+    return mentions.ranked_stories(m).select("company_id", "story_id", "story_rank", "visible")
 
 
 def _keep(order: str) -> str:
@@ -82,10 +84,10 @@ def q22(spark, d):
     return relational.longest_name(table(spark, d, "part").select("p_brand", "p_name", "p_partkey"), "p_brand", "p_name", "p_partkey")
 
 
-@query("q23_mention_upsert", "SELECT l_partkey AS company_id, l_orderkey AS edition_id, CASE WHEN bool_or(l_linestatus = 'F') THEN 'heading' ELSE 'list' END AS mention_type, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2")
+@query("q23_mention_upsert", "WITH r AS (SELECT l_partkey AS company_id, l_orderkey AS edition_id, l_linestatus = 'F' AS h, l_linenumber AS ord, CASE WHEN l_linenumber % 3 > 0 THEN 'S' || l_linenumber END AS sector FROM lineitem WHERE l_returnflag = 'R') SELECT company_id, edition_id, CASE WHEN bool_or(h) THEN 'heading' ELSE 'list' END AS mention_type, coalesce(arg_max(sector, ord) FILTER (h AND sector IS NOT NULL), arg_min(sector, ord) FILTER (sector IS NOT NULL)) AS sector, count(*) AS n FROM r GROUP BY 1, 2")
 def q23(spark, d):
-    g = part_mentions(spark, d).groupBy("company_id", "edition_id").agg(F.bool_or(F.col("mention_type") == "heading").alias("h"), F.count("*").alias("n"))
-    return g.select("company_id", "edition_id", F.when(F.col("h"), "heading").otherwise("list").alias("mention_type"), "n")
+    m = part_mentions(spark, d).withColumn("sector", F.when(F.col("ord") % 3 > 0, F.concat(F.lit("S"), F.col("ord").cast("string"))))
+    return relational.upserted_mentions(m)
 
 
 @query("q24_alias_remap", "WITH v AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name) AS canonical_id FROM part WHERE p_partkey % 4 <> 0) SELECT coalesce(v.canonical_id, l_partkey) AS company_id, count(*) AS n FROM lineitem LEFT JOIN v ON v.id = l_partkey GROUP BY 1")
@@ -116,7 +118,8 @@ def q27(spark, d):
     return mentions.plain_mentions(table(spark, d, "documents").select(F.col("doc_id").alias("story_id"), "text"), _alias_words(spark))
 
 
-@query("q28_story_mentions_greedy")
+#: Of aliases that end in one word, the longer ones take their places first: what is left adds up to that word's places.
+@query("q28_story_mentions_greedy", r"WITH a(company_id, alias) AS (VALUES (1, 'the'), (2, 'la'), (3, 'die')), t AS (SELECT doc_id AS story_id, string_split(trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents), c AS (SELECT story_id, company_id, len(list_filter(w, lambda x: x = alias))::INTEGER AS mention_count FROM t CROSS JOIN a) SELECT * FROM c WHERE mention_count > 0")
 def q28(spark, d):
     a = spark.createDataFrame([(1, "the"), (1, "and the"), (1, "of the"), (2, "de la"), (2, "la"), (3, "die")], "company_id int, alias string")
     return mentions.story_mentions(table(spark, d, "documents").select(F.col("doc_id").alias("story_id"), "text"), a)
@@ -358,11 +361,7 @@ def q56(spark, d):
 @query("q57_stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY 1, 2")
 def q57(spark, d):
     """Extension: events through a stream, each id once, counted by user and type."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="entitylens-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     source = stream.first_events(source.withColumn("at", F.col("ts").cast("timestamp")), ["event_id"], "at").select("event_id", "user_id", "event_type")
@@ -370,12 +369,12 @@ def q57(spark, d):
     return spark.read.parquet(f"{path}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("q58_plain_text_pages", None)
+@query("q58_company_pages", "WITH q AS (SELECT l_partkey AS c, l_orderkey AS e, l_orderkey || '-' || l_linenumber AS id, min(l_returnflag) AS sector, o_orderdate::DATE AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY day DESC, e DESC, id) AS no FROM q), h AS (SELECT c, string_agg('<article class=\"quote\" data-no=\"' || CASE WHEN no < 10 THEN '0' ELSE '' END || no || '\"><p>' || id || '</p><footer>' || sector || '</footer></article>', '' ORDER BY no) AS cards FROM n GROUP BY c) SELECT p_partkey AS slug, md5('<!doctype html><title>' || p_name || '</title><h1>' || p_name || '</h1>' || cards) AS html FROM part JOIN h ON c = p_partkey")
 def q58(spark, d):
     """Pages as company pages: nested timelines rendered to HTML."""
     c = companies(spark, d).select("id", "name")
-    q = quotes(spark, d).withColumn("text", F.col("quote_id")).withColumn("speaker", F.col("sector"))
-    return serve.company_pages(c, q, editions(spark, d))
+    q = quotes(spark, d).groupBy("company_id", "edition_id", "quote_id").agg(F.min("sector").alias("speaker")).withColumn("text", F.col("quote_id"))
+    return serve.company_pages(c, q, editions(spark, d)).withColumn("html", F.md5("html"))
 
 
 _q30 = scalars.SQL["q30_cascade_lookup"]
@@ -392,7 +391,7 @@ def q59(spark, d):
 def q60(spark, d):
     l = table(spark, d, "lineitem")
     of = lambda cond: l.where(cond).select(F.col("l_partkey").alias("company_id"), F.col("l_orderkey").alias("edition_id"))
-    return of("l_returnflag = 'A'").union(of("l_linestatus = 'F'")).distinct()
+    return relational.covered_pairs([of("l_returnflag = 'A'"), of("l_linestatus = 'F'")])
 
 
 @query("q61_script_json", "SELECT p_partkey AS slug, replace('{\"slug\":' || p_partkey || ',\"name\":\"' || p_name || '</b>\"}', '</', '<\\/') AS json FROM part")
@@ -418,6 +417,6 @@ def q63(spark, d):
 
 
 def all_queries():
-    return dict(scalars.QUERIES), dict(scalars.SQL)
-
+    from . import checks, content  # noqa: F401  these register their queries
 
+    return dict(scalars.QUERIES), dict(scalars.SQL)

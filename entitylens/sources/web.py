@@ -36,11 +36,21 @@ def trimmed_xml(c):
     return F.regexp_extract(c, r"(?s)(<\?xml.*|<urlset.*)$", 1)
 
 
-def listing_index(pages: DataFrame, pattern: str) -> DataFrame:
-    """(symbol, url) of loc elements in any namespace that the pattern matches in full; the last of a symbol wins."""
-    locs = pages.select(F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<(?:\\w+:)?loc>\\s*(.*?)\\s*</(?:\\w+:)?loc>"), F.lit(1))).alias("ord", "url"))
+def sitemap_years(pages: DataFrame, base_url: str) -> DataFrame:
+    """Distinct absolute links to a sitemap's year pages, sorted."""
+    hrefs = pages.select(F.explode(urls.links(F.col("html"))).alias("href")).where(F.col("href").contains("/sitemap/"))
+    return hrefs.select(urls.absolute(F.col("href"), base_url).alias("url")).distinct().orderBy("url")
+
+
+def listing_index(pages: DataFrame, pattern: str, order: str | None = None) -> DataFrame:
+    """(symbol, url) of loc elements in any namespace that the pattern matches in full; the last of a symbol wins.
+
+    order: a column with the order of the pages; without it, of a symbol's last ones on several pages the greatest url wins.
+    """
+    page = F.col(order) if order else F.lit(0)
+    locs = pages.select(page.alias("page"), F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<(?:\\w+:)?loc>\\s*(.*?)\\s*</(?:\\w+:)?loc>"), F.lit(1))).alias("ord", "url"))
     made = locs.withColumn("symbol", F.upper(F.regexp_extract("url", f"^(?:{pattern})$", 1))).where("symbol <> ''")
-    return made.groupBy("symbol").agg(F.max_by("url", "ord").alias("url")).orderBy("symbol")
+    return made.groupBy("symbol").agg(F.max_by("url", F.struct("page", "ord", "url")).alias("url")).orderBy("symbol")
 
 
 def instrument_candidates(spark: SparkSession, path: str, fallback: DataFrame | None = None) -> DataFrame:
@@ -63,6 +73,11 @@ def index_constituents(raw: DataFrame, index_symbol: str, column: str = "json")
     return rows.where(F.col("symbol") != index_symbol).select("symbol", F.col("meta.companyName").alias("name"), F.col("meta.isin").alias("isin"), F.col("meta.industry").alias("industry"))
 
 
+def search_code(body):
+    """A search answer's code: the first that is all digits in its list, else the first six digits that stand alone."""
+    return F.coalesce(F.nullif(F.regexp_extract(body, r'"scrip_cd"\s*:\s*"?(\d+)"?\s*[,}\]]', 1), F.lit("")), F.nullif(F.regexp_extract(body, r"\b(\d{6})\b", 1), F.lit("")))
+
+
 def with_codes(universe: DataFrame, by_isin: DataFrame, by_name: DataFrame) -> DataFrame:
     """Codes by ISIN, else by name."""
     return universe.join(by_isin.withColumnRenamed("code", "_i"), "isin", "left").join(by_name.withColumnRenamed("code", "_n"), "name", "left").withColumn("code", F.coalesce("_i", "_n")).drop("_i", "_n")
