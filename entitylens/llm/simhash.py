@@ -13,9 +13,8 @@ outwards, and those already linked are not compared again. Links then make compo
 Near-dedup asks for a Jaccard similarity of longer shingles. Pairs meet by bit blocks, or by
 bands of minimum hashes of those shingles. Short sketches of minimum hashes
 travel with the fingerprints and discard pairs that are far below it, with four standard
-deviations of slack; the links that are left are verified by the whole shingle sets of their
-texts. Where that splits what the sketches held together, all its pairs across the parts that
-the sketches allow are verified too.
+deviations of slack. What the rest connects is compared by whole shingle sets, chunk by chunk
+of a component: all pairs that the sketches allow, but for those connected already.
 
 Null and empty texts have no words: fingerprint zero, linked like any other. Very long texts
 are taken whole, in slices. Equal doc_ids keep a row each. A row without doc_id links like
@@ -46,6 +45,8 @@ DEVIATIONS = 4.0
 #: Bands of minimum hashes and hashes in each: all but 0.04 % of pairs of similarity 0.8 agree in a band (1 - (1 - 0.8^5)^20).
 BANDS, BAND_HASHES = 20, 5
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members of a component of candidates that are compared at a time; a task holds two such chunks.
+CHUNK = 512
 #: Shingles that are turned into bits at a time.
 _SLICE = 1 << 16
 
@@ -340,77 +341,97 @@ def blocks_for(n: int, distance: int, most: int = 128) -> int:
     return 64
 
 
-def _verify(shingle_words: int, least_similarity: float):
+def verified_forest(nodes: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, left: np.ndarray, most: int, least_similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what links of the similarity connect, by exact comparison of shingle sets.
+
+    left: which members are compared with the others; if all are, or none is, each is compared
+    with all behind it. Pairs that are far apart by sketch or size, or connected already, are passed over.
+    """
+    above, found, sizes = list(range(len(sets))), [], np.array([len(x) for x in sets])
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    one_side = left.all() or not left.any()
+    right = np.flatnonzero(~left)
+    for a in range(len(sets)) if one_side else np.flatnonzero(left).tolist():
+        others = np.arange(a + 1, len(sets)) if one_side else right
+        near = _similar(sketches, others, a, most) & (np.minimum(sizes[others], sizes[a]) >= least_similarity * np.maximum(sizes[others], sizes[a]) - 1e-9)
+        for b in others[near].tolist():
+            if (x := root(a)) == (y := root(b)) or not sizes[a]:
+                continue
+            small, large = (sets[a], sets[b]) if sizes[a] < sizes[b] else (sets[b], sets[a])
+            shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            if shared + 1e-9 >= least_similarity * (sizes[a] + sizes[b] - shared):
+                above[y] = x
+                found.append((int(nodes[a]), int(nodes[b])))
+    return found
+
+
+def _verify(most: int, least_similarity: float):
     def over(batches):
-        """Rows come sorted by a, the text of a before those it is compared with."""
-        now, hub = None, None
+        """Rows come sorted by group and node; one group of two chunks at most is held at a time."""
+        now, held = None, []
+
+        def links_of(rows):
+            rows = [r for n, r in enumerate(rows) if not n or r[0] != rows[n - 1][0]]
+            nodes, chunks = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+            sets, sketches = [np.frombuffer(r[2], np.uint64) for r in rows], np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+            found = verified_forest(nodes, sets, sketches, chunks == chunks.min(), most, least_similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            found = ([], [])
-            for a, want, text in zip(*(batch.column(x) for x in ("a", "want", "text")), strict=True):
-                a, want = a.as_py(), want.as_py()
-                if a == want == now:
-                    continue
-                shingles = shingle_set(words_of(text.as_py()), shingle_words)
-                if set_key(shingles) != want:
-                    continue  # another text of the same doc_id
-                if a == want:
-                    now, hub = a, shingles
-                elif a == now:
-                    shared = len(np.intersect1d(hub, shingles, assume_unique=True))
-                    if shared + 1e-9 >= least_similarity * (len(hub) + len(shingles) - shared):
-                        found[0].append(a)
-                        found[1].append(want)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+            columns = [batch.column(x).to_pylist() for x in ("component", "i", "j", "node", "chunk", "shingles", "sketch")]
+            for *group, node, chunk, shingles, sketched in zip(*columns, strict=True):
+                if group != now and held:
+                    yield links_of(held)
+                    held = []
+                now = group
+                held.append((node, chunk, shingles, sketched))
+        if held:
+            yield links_of(held)
 
     return over
 
 
-def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle_words: int, least_similarity: float) -> DataFrame:
-    """Those of `edges` (a, b) whose whole shingle sets have the Jaccard similarity; nodes: (rep, doc_id) of a document with that set.
+def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, shingle_words: int, least_similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) of the similarity, exact, which connect what such links connect within the components of `near` (a, b). nodes: (rep, doc_id) of a document with that set.
 
-    A text comes once for each block of the edges of an a, which are dealt by b, so a node with very many edges is spread.
+    Members of a component are dealt by hash to chunks of some `chunk`; each pair of chunks is
+    compared in a task, so a set is sent once for each chunk of its component, not once for each pair.
     """
-    e = edges.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("part"))
-    needs = e.select("a", "part", F.col("a").alias("want")).distinct().union(e.select("a", "part", F.col("b").alias("want")))
-    needs = written(needs.join(nodes, F.col("want") == F.col("rep")).select("a", "part", "want", F.col("doc_id").alias("_need")), "needs")
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(needs, F.col("_doc") == F.col("_need")).select("a", "part", "want", "text")
-    rows = rows.repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("want") != F.col("a"))
-    return rows.select("a", "want", "text").mapInArrow(_verify(shingle_words, least_similarity), "a long, b long").distinct()
+    held = written(connected_components(near), "held")
+    chunks = held.groupBy("component").agg(F.ceil(F.count("*") / F.lit(float(chunk))).cast("int").alias("chunks"))
+    members = held.join(nodes, F.col("node") == F.col("rep")).join(chunks, "component").select("node", "component", "chunks", F.col("doc_id").alias("_need"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Of the texts of a doc_id, only the one that the node stands for."""
+        made = [shingle_set(words_of(x.as_py()), shingle_words) for x in batch.column("text")]
+        own = pa.array([set_key(x) == node for x, node in zip(made, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+        columns = [batch.column(x) for x in ("node", "component", "chunks", "chunk")]
+        arrays = [*columns, pa.array([x.tobytes() for x in made], pa.binary()), pa.array([_bits(minima(x)) for x in made], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["node", "component", "chunks", "chunk", "shingles", "sketch"]).filter(own)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(members, F.col("_doc") == F.col("_need")).select("node", "component", "chunks", "chunk", "text")
+    made = arrow_map(texts, sets, "node long, component long, chunks int, chunk int, shingles binary, sketch binary")
+    groups = made.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    groups = groups.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "chunk", "shingles", "sketch")
+    # Whole components that fit a chunk, and pairs of chunks, go to tasks by hash.
+    dealt = groups.repartition(partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    return dealt.mapInArrow(_verify(most_differing(least_similarity, DEVIATIONS), least_similarity), "a long, b long")
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(near: DataFrame, good: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) not in `near` that its components hold together and `good` does not, with sketches at most `most` bits apart.
-
-    All parts of a component but the largest are compared with all of it.
-    """
-    held = connected_components(near).withColumnRenamed("component", "whole")
-    own = connected_components(good).withColumnRenamed("component", "own")
-    members = written(held.join(own, "node", "left").select("node", "whole", F.coalesce("own", "node").alias("own")), "members")
-    parts = members.groupBy("whole", "own").count()
-    split = parts.groupBy("whole").agg(F.max_by("own", F.struct("count", "own")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-    words = [F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(SKETCH_BITS // 64)]
-    sketches = distinct.groupBy("rep").agg(F.min("sketch").alias("sketch")).select(F.col("rep").alias("node"), *words)
-    members = written(members.join(split, "whole").join(sketches, "node"), "split")
-    x, y = members.where("own <> main").alias("x"), members.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    pairs = x.join(y, (F.col("x.whole") == F.col("y.whole")) & ((F.col("y.own") == F.col("y.main")) | (F.col("x.own") < F.col("y.own"))) & (differ <= most))
-    return _ordered(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).join(near, ["a", "b"], "left_anti")
-
-
 def near_copy_links(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, distance: int, similarity_words: int, least_similarity: float) -> DataFrame:
     """Links (a, b) between shingle sets of the similarity, exact, which connect the near copies among the candidates."""
     sets = distinct.groupBy("rep").agg(F.min("sketch").alias("sketch"), F.min("bands").alias("bands"))
     met = links(distinct, distance, blocks_for(distinct.count(), distance), least_similarity).union(band_links(sets, least_similarity))
-    near = written(_ordered(met), "near")
-    good = written(verified(near, nodes, docs, similarity_words, least_similarity), "good")
-    if near.count() == good.count():
-        return good
-    more = written(_across(near, good, distinct, most_differing(least_similarity, DEVIATIONS)), "across")
-    return good.union(verified(more, nodes, docs, similarity_words, least_similarity))
+    return verified(met, nodes, docs, similarity_words, least_similarity)
 
 
 def one_of_each_group(docs: DataFrame, shingle_words: int = 3, distance: int = 8, similarity_words: int = 5, least_similarity: float = 0.8) -> DataFrame:
