@@ -9,10 +9,11 @@ lengths is an upper bound, and only pairs whose bound reaches the threshold get
 integer score. Bounds carry a slack for rounding, so no result is lost.
 
 Vectors that are null, or hold null or non-finite components, take no part. Queries see only
-candidates of their own number of components. Of equal vectors, the k + 1 with the smallest
-vec_id are candidates: others cannot be in a result. Ties go to the smaller vec_id; rows of
-equal vec_id are candidates each, but never of a query with that id; a query id counts once
-for each distinct vector. An empty table gives no rows. Other columns are left out.
+candidates of their own number of components. Of equal vectors, those of the k + 1 smallest
+vec_ids are candidates, k rows of each at most: others cannot be in a result. Ties go to the
+smaller vec_id; rows of equal vec_id are candidates each, but never of a query with that id;
+rows of a query that are equal in id and vector count once, and vectors of one query id share
+its k places. An empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -123,9 +124,12 @@ def block_best(qid, q, cid, c, threshold, turn, k):
 def top_inner_products(rows: DataFrame, k: int = 5, query_step: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score) for each row whose vec_id is divisible by `query_step`, against all other rows."""
     vectors = usable_vectors(rows)
-    copies = Window.partitionBy("v").orderBy("vec_id")
     vectors = written(vectors, "vectors")
-    candidates = vectors.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    # Repeated rows are counted first, so that a vector that very many rows have comes to its window once for each id.
+    counted = vectors.groupBy("v", "vec_id").agg(F.first("dim").alias("dim"), F.first("norm2").alias("norm2"), F.count("*").alias("n"))
+    copies = Window.partitionBy("v").orderBy("vec_id")
+    candidates = counted.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    candidates = candidates.withColumn("n", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")))).drop("n")
     queries = vectors.where(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id", "v"])
     parts = [_of_dim(candidates.where(F.col("dim") == d), queries.where(F.col("dim") == d), d, k) for d in sorted(r.dim for r in queries.select("dim").distinct().collect())]
     if not parts:
@@ -177,7 +181,7 @@ def _of_dim(candidates: DataFrame, queries: DataFrame, dim: int, k: int) -> Data
                 (row, vec, found), _ = block_best(qid, q, cid, c, np.frombuffer(one["threshold"], np.float64), turn, k)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[row] if row else [], pa.int64()), pa.array(vec, pa.int64()), pa.array(found, pa.int64())], ["query_id", "vec_id", "score"])
 
-    found = pairs.repartition(n, "q_at", "place").mapInArrow(score, "query_id long, vec_id long, score long").dropDuplicates()
+    found = pairs.repartition(n, "q_at", "place").mapInArrow(score, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -190,7 +194,7 @@ ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+      FROM (SELECT DISTINCT vec_id, v FROM v) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

@@ -166,6 +166,21 @@ def test_topk_equals_brute_force(spark):
     assert not rows_of(topk.top_inner_products(df.where("false")))
 
 
+def test_topk_of_repeated_rows(spark):
+    r = np.random.default_rng(9)
+    x = [(int(i), r.integers(0, 3, 2).astype(float).tolist()) for i in r.integers(0, 12, 120) * 10] + [(50, [2.0, 2.0])] * 9 + [(60, [2.0, 2.0])] * 9
+    df = spark.createDataFrame(x, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [i for i, _ in x], "embedding": pa.array([v for _, v in x], pa.list_(pa.float32()))}))
+    want = Counter(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk.ORACLE})").fetchall())
+    brute = Counter()
+    for q in {i for i, _ in x if i % 50 == 0}:
+        own = {tuple(v) for i, v in x if i == q}
+        s = sorted((-int(256 * 256 * np.dot(a, b)), i) for a in own for i, b in x if i != q)[:5]
+        brute.update((q, n, i, -v) for n, (v, i) in enumerate(s, 1))
+    assert Counter(map(tuple, rows_of(topk.top_inner_products(df)))) == brute == want
+
+
 def test_topk_prunes():
     r = np.random.default_rng(1)
     q, c = (r.normal(size=(n, 16)) @ np.diag(2.0 ** -np.arange(16)) * 900 for n in (20, 3000))
