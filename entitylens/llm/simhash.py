@@ -456,10 +456,14 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 3, distance: int = 8
     texts = made.groupBy("doc_id", "text_hash", "rep").agg(F.count("*").alias("n")).join(of_rep, "rep")
     texts = texts.withColumn("goes", F.struct("doc_id", "text_hash") != F.col("kept")).where("goes OR n > 1")
     texts = written(texts.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "goes"), "decided")
+    # A table by itself: it is known to be small before the join, where no row is there twice.
+    repeated = written(texts.where("NOT goes").select("_d", "_h"), "repeated")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+    # Both joins have the same left side, so that its exchange is made once; rows without doc_id go by them.
+    named = rows.where("_id IS NOT NULL")
     same = (F.col("_id") == F.col("_d")) & (F.col("_hash") == F.col("_h"))
-    whole = rows.join(texts, same, "left_anti").select("row")
-    twice = rows.join(texts.where("NOT goes"), same, "left_semi").groupBy("_id", "_hash").agg(F.first("row").alias("row")).select("row")
+    whole = named.join(texts, same, "left_anti").select("row").union(rows.where("_id IS NULL").select("row"))
+    twice = named.join(repeated, same, "left_semi").groupBy("_id", "_hash").agg(F.first("row").alias("row")).select("row")
     return whole.union(twice).select(*[F.col("row")[x].alias(x) for x in docs.columns])
 
 
