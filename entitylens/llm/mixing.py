@@ -100,14 +100,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A row is known by its doc_id, a hash of id, source and text, and its number among the rows equal in these.
     """
-    same = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("")))
+    known = F.col("doc_id").cast("long")
+    same = F.xxhash64(known, known.isNull(), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("")))
     rows = written(counted(docs, same.alias("_same")), "counted")
-    copies = Window.partitionBy("doc_id", "_same", "epoch").orderBy("position")
-    chosen = _mix(rows, ["_same"], **options).withColumn("_copy", F.row_number().over(copies)).select(F.col("doc_id").alias("_id"), F.col("_same").alias("_key"), "_copy")
-    numbered = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_doc"), same.alias("_same"))
+    taken = _mix(rows, ["_same"], **options).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("_same").alias("_key"), "epoch").agg(F.count("*").alias("_copies"))
+    # One count for each epoch. Of rows that are equal, an epoch takes as many as it counts, from the first number on.
+    taken = taken.groupBy("_id", "_key").agg(F.collect_list("_copies").alias("_copies"))
+    numbered = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(known, F.lit(0)).alias("_doc"), same.alias("_same"))
+    # Numbered and joined by the same keys: whole rows are exchanged once.
     numbered = numbered.withColumn("_number", F.row_number().over(Window.partitionBy("_doc", "_same").orderBy("_doc")))
-    met = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_key")) & (F.col("_number") == F.col("_copy"))
-    return numbered.join(chosen, met).select(*[F.col("row")[x].alias(x) for x in docs.columns])
+    met = numbered.join(taken, (F.col("_doc") == F.col("_id")) & (F.col("_same") == F.col("_key")))
+    times = F.size(F.filter("_copies", lambda x: x >= F.col("_number")))
+    met = met.select("row", F.explode(F.array_repeat(F.lit(0), times)))
+    return met.select(*[F.col("row")[x].alias(x) for x in docs.columns])
 
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
