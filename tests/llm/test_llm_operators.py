@@ -208,6 +208,15 @@ def test_mixing(spark, docs, none, texts, tmp_path):
     assert not rows_of(mixing.mix(none)) and not rows_of(mixing.mix(docs.where("text IS NULL")))
 
 
+def test_mixed_documents_come_once_for_each_time_they_are_taken(spark):
+    rows = [(i, f"one two three {i}", "large") for i in range(60)] + [(100, "a b c", "small")] * 3 + [(None, "d e", "small")] * 2 + [(0, "d e", "small"), (101, None, "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"entropy_share": 1.0, "max_repeat": 3.0, "block_tokens": 8}
+    taken = Counter((r.doc_id, r.source, r.tokens) for r in rows_of(mixing.mix(df, **options)))
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in rows_of(mixing.mixed_documents(df, **options)))
+    assert got == taken and max(taken.values()) > 3
+
+
 def test_mixed_documents_give_repeated_and_null_ids_once(spark):
     made = [(7, "a b c", "s"), (7, "a b c", "s"), (7, "d e f g", "s"), (7, "a b c", "t"), *[(None, f"n{i % 4} x y", "s") for i in range(8)], *[(i, "p q r", "t") for i in range(20, 30)]]
     df = spark.createDataFrame(made, "doc_id long, text string, source string")
