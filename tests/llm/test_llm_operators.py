@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -181,6 +182,24 @@ def test_topk_of_repeated_rows(spark):
     assert Counter(map(tuple, rows_of(topk.top_inner_products(df)))) == brute == want
 
 
+def test_topk_in_waves(spark, monkeypatch):
+    """Many small blocks, so that thresholds rise over several waves; ids with vectors of several sizes; wide components."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    r = np.random.default_rng(5)
+    x = [(int(i) * 10, (r.normal(size=int(d)) * w).tolist()) for i, d, w in zip(r.integers(0, 60, 700), r.choice([3, 6], 700), r.choice([0.05, 1.0, 900.0], 700))]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [i for i, _ in x], "embedding": pa.array([v for _, v in x], pa.list_(pa.float64()))}))
+    want = Counter(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk.ORACLE})").fetchall())
+    whole = [(i, tuple(math.floor(256 * c) for c in v)) for i, v in x]
+    brute = Counter()
+    for q in {i for i, _ in x if i % 50 == 0}:
+        own = {v for i, v in whole if i == q}
+        s = sorted((-sum(a * b for a, b in zip(o, v, strict=True)), i) for o in own for i, v in whole if i != q and len(v) == len(o))[:5]
+        brute.update((q, n, i, -v) for n, (v, i) in enumerate(s, 1))
+    assert Counter(map(tuple, rows_of(topk.top_inner_products(df)))) == brute == want
+
+
 def test_topk_prunes():
     r = np.random.default_rng(1)
     q, c = (r.normal(size=(n, 16)) @ np.diag(2.0 ** -np.arange(16)) * 900 for n in (20, 3000))
