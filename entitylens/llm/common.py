@@ -37,16 +37,26 @@ def bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("bucket")), F.lit(buckets)).cast("int")
 
 
-def running_sums(df: DataFrame, by: list[str], at: str, order: list[str], value: Column, name: str) -> DataFrame:
+def running_sums(df: DataFrame, by: list[str], at: str, order: list[str], value: Column, name: str, span: int | None = None) -> DataFrame:
     """Adds `name`: the sum of `value` over the rows of the same `by` that come before, ordered by `at` (a bucket) and `order`.
 
     Only rows of one bucket meet in a task; a hot `by` is spread over its buckets, whose
-    sums make a table of one row for each. `value` is taken as long.
+    sums make a table of one row for each. With `span`, buckets of the same `at / span` are
+    summed up apart, so that no task sorts all buckets of a `by`. `value` is taken as long.
     """
     v = df.withColumn("_value", value.cast("long"))
     totals = v.groupBy(*by, at).agg(F.sum("_value").alias("_total"))
-    over = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, at, F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_base"))
+
+    def before(keys: list[str], ordered: str, summed: str) -> Column:
+        return F.coalesce(F.sum(summed).over(Window.partitionBy(*keys).orderBy(ordered).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if span is None:
+        totals = totals.select(*by, at, before(by, at, "_total").alias("_base"))
+    else:
+        totals = totals.withColumn("_span", F.floor(F.col(at) / span))
+        spans = totals.groupBy(*by, "_span").agg(F.sum("_total").alias("_total"))
+        spans = spans.select(*by, "_span", before(by, "_span", "_total").alias("_start"))
+        totals = totals.join(spans, [*by, "_span"]).select(*by, at, (F.col("_start") + before([*by, "_span"], at, "_total")).alias("_base"))
     within = Window.partitionBy(*by, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = v.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
     return out.join(totals, [*by, at]).withColumn(name, F.col("_base") + F.col("_within")).drop("_value", "_within", "_base")

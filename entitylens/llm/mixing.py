@@ -90,7 +90,7 @@ def _mix(rows: DataFrame, more: list[str], budget_share: float = BUDGET_SHARE, e
     taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     taken = taken.withColumn("at", hash32(F.lit(seed), "key", "epoch", "block") * F.lit(2**20) + F.pmod("block", F.lit(2**20)))
     taken = taken.withColumn("h", hash32(F.lit(seed), "epoch", "doc_id"))
-    taken = running_sums(taken, ["key", "epoch"], "at", ["h", "doc_id", *more], F.col("tokens"), "before")
+    taken = running_sums(taken, ["key", "epoch"], "at", ["h", "doc_id", *more], F.col("tokens"), "before", span=2**40)
     position = F.col("epoch") * F.col("t") + F.col("before")
     return taken.withColumn("position", position).where("position < quota").select("doc_id", "source", "tokens", "epoch", "block", "position", *more)
 

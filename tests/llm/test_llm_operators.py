@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from entitylens.llm import encoding, mixing, packing, quality, sharding, simhash, span_dedup, suffix_dedup, token_files, topk, toxicity
+from entitylens.llm import common, encoding, mixing, packing, quality, sharding, simhash, span_dedup, suffix_dedup, token_files, topk, toxicity
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, source string, n_chars long, row string, _id int, block string, fp string, epoch int, key string, h long, at string"
@@ -211,6 +211,15 @@ def test_topk_prunes():
     assert share < 0.3 and all(scores[a, b - 100] == s for a, b, s in zip(row, vec, found, strict=True)) and len(row) >= 100
 
 
+def test_running_sums(spark):
+    r = random.Random(3)
+    x = [(r.choice("ab"), r.randrange(1000), i, r.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(x, "k string, at long, i long, v int")
+    want = {i: sum(v for k2, at2, i2, v in x if k2 == k and (at2, i2) < (at, i)) for k, at, i, _ in x}
+    for span in (None, 64):
+        assert {row.i: row.s for row in rows_of(common.running_sums(df, ["k"], "at", ["i"], F.col("v"), "s", span))} == want
+
+
 def test_mixing(spark, docs, none, texts, tmp_path):
     con = duckdb.connect()
     frame = docs.select("doc_id", "text", "source").toPandas()
