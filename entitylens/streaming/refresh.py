@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def latest_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct("*"), F.col(order)).alias("r")).select("r.*")
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Runs what is available and stops. Each micro-batch writes a new version of the snapshot; a batch that runs twice writes the same one."""
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _places(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """bucket -> the batch that wrote it last, after batch `number`; no more entries than buckets."""
+    if number < 0:
+        return {}
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").json(f"{path}/places/{number}").collect()}
+
+
+def _snapshot(spark: SparkSession, path: str, places: dict[int, int], schema: StructType) -> DataFrame:
+    files = [f"{path}/rows/{version}/bucket={b}" for b, version in sorted(places.items())]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def read_snapshot(spark: SparkSession, path: str, number: int, schema) -> DataFrame:
+    """The newest row of each key after micro-batch `number` of `upsert_batches`."""
+    return _snapshot(spark, path, _places(spark, path, number), spark.createDataFrame([], schema).schema)
+
+
+def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = 64):
+    """Runs what is available and stops. Rows stand in buckets of their key; a micro-batch reads and writes only the buckets of its own keys.
+
+    `places` says after each batch which batch wrote each bucket last, so earlier snapshots
+    stay readable, and a batch that runs twice reads and writes the same.
+    """
 
     def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{path}/v{number - 1}"
-        rows = batch
-        if number > 0:
-            rows = spark.read.schema(batch.schema).parquet(before).unionByName(batch)
-        latest_by_key(rows, key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark, columns = batch.sparkSession, batch.columns
+        before = _places(spark, path, number - 1)
+        touched = {r.b for r in batch.select(_bucket(key, buckets).alias("b")).distinct().collect()}
+        old = _snapshot(spark, path, {b: v for b, v in before.items() if b in touched}, batch.schema)
+        rows = latest_by_key(old.unionByName(batch), key, order).select(*columns, _bucket(key, buckets).alias("bucket"))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/{number}")
+        now = sorted({**before, **dict.fromkeys(touched, number)}.items())
+        spark.createDataFrame(now, "bucket int, version long").coalesce(1).write.mode("overwrite").json(f"{path}/places/{number}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -255,10 +255,13 @@ def test_web(spark, tmp_path):
 
 
 def test_stream_upsert(spark, tmp_path):
-    for n, batch in enumerate(([("a", 1), ("b", 1)], [("a", 2)])):
-        spark.createDataFrame(batch, "url string, lastmod int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream.upsert_batches(stream.stream_table(spark, str(tmp_path / "in"), "url string, lastmod int"), str(tmp_path / "out"), "url", "lastmod", str(tmp_path / "check")).awaitTermination()
-        assert sorted(rows(spark.read.parquet(str(tmp_path / f"out/v{n}")))) == [[("a", 1), ("b", 1)], [("a", 2), ("b", 1)]][n]
+    schema, out = "url string, lastmod int", str(tmp_path / "out")
+    for n, batch in enumerate(([("a", 1), ("b", 1), (None, 1)], [("a", 2), ("a", 1)], [("b", 0), ("c", 5)])):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.upsert_batches(stream.stream_table(spark, str(tmp_path / "in"), schema), out, "url", "lastmod", str(tmp_path / "check")).awaitTermination()
+    known = [[("a", 1), ("b", 1), (None, 1)], [("a", 2), ("b", 1), (None, 1)], [("a", 2), ("b", 1), ("c", 5), (None, 1)]]
+    assert [sorted(rows(stream.read_snapshot(spark, out, n, schema)), key=str) for n in range(3)] == [sorted(x, key=str) for x in known]
+    assert len(list((tmp_path / "out/rows/1").glob("bucket=*"))) == 1  # only the bucket of the batch's key is written again
 
 
 def test_story_rows_fill_gaps(spark):
