@@ -42,19 +42,46 @@ def compatible_pairs(pairs: DataFrame, left: str, right: str, aliases: DataFrame
     return rows.where(near).drop("_l", "_r", "_x", "_y", "_alias", "_yes")
 
 
-def blocking_keys(name: Column) -> Column:
-    """Keys of which compatible names share one: words, joined words, initials against a single word, and length with letters for near-equal spellings."""
+def word_blocks(name: Column) -> Column:
+    """Keys of which names share one if a rule other than similarity makes them compatible: words, joined words, initials against a single word."""
     tokens = text.words_of(text.company_key(name))
     own = text.initialism_tokens(name)
     every = F.array_distinct(F.concat(tokens, own))
     ignored = F.array(*[F.lit(x) for x in ("and", "of", "the")])
     short = F.array(text.initials(F.filter(own, lambda t: ~F.array_contains(ignored, t))), text.initials(own))
     joined = F.array_join(tokens, "")
-    spelled = F.array_join(tokens, " ")
-    n = F.length(spelled)
-    # At a ratio of 0.93 lengths differ by a seventh at most; some two-letter string is shared too, but length and first letters of parts do.
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(spelled, i, F.lit(3)))
-    return F.array_distinct(F.filter(F.concat(F.transform(every, lambda t: F.concat(F.lit("w:"), t)), F.transform(short, lambda t: F.concat(F.lit("w:"), t)), F.array(F.concat(F.lit("j:"), joined)), F.transform(grams, lambda g: F.concat(F.lit("g:"), g))), lambda k: F.length(k) > 2))
+    return F.array_distinct(F.filter(F.concat(F.transform(every, lambda t: F.concat(F.lit("w:"), t)), F.transform(short, lambda t: F.concat(F.lit("w:"), t)), F.array(F.concat(F.lit("j:"), joined))), lambda k: F.length(k) > 2))
+
+
+#: Names whose ratio is 0.93 or more differ by at most 0.07 of both lengths, so by 0.14 / 0.93 of one's length.
+EDITS = 0.1506
+
+
+def with_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Adds `blocks`, keys of which compatible names share one: those of their words, and a name's rarest three-letter strings. `key` is unique.
+
+    An edit spoils at most three strings of three letters. Of names that near, sets of strings
+    lack at most 3 * edits of each other, so that many and one more of each, by the same order,
+    have one in common; the rarest come first, so very common strings seldom make a block.
+    """
+    spelled = text.company_key(F.col("name"))
+    rows = checkpointed(rows.withColumn("_words", word_blocks(F.col("name"))).withColumn("_spelled", spelled))
+    n = F.length("_spelled")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(F.col("_spelled"), i, F.lit(3))))
+    grams = rows.where(n > 0).select(key, (3 * F.floor(n * EDITS) + 1).alias("_most"), F.explode(grams).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("_often"))
+    rarest = Window.partitionBy(key).orderBy("_often", "gram")
+    first = grams.join(often, "gram").withColumn("_place", F.row_number().over(rarest)).where("_place <= _most")
+    first = first.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.concat(F.lit("g:"), "gram")).alias("_grams"))
+    made = rows.join(first, F.col(key) == F.col("_key"), "left")
+    return made.withColumn("blocks", F.concat("_words", F.coalesce("_grams", F.array().cast("array<string>")))).drop("_words", "_spelled", "_key", "_grams")
+
+
+def block_pairs(blocked: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """Pairs of rows (l_, r_) that share a block, l before r in `order`; a pair comes from the first block that it shares, so it comes once."""
+    a, b = (blocked.select(F.explode("blocks").alias("block"), "blocks", *[F.col(c).alias(f"{p}_{c}") for c in columns]).withColumnRenamed("blocks", f"{p}_blocks") for p in ("l", "r"))
+    shared = F.get(F.array_intersect("l_blocks", "r_blocks"), F.lit(0))
+    return a.join(b, "block").where((F.col(f"l_{order}") < F.col(f"r_{order}")) & (F.col("block") == shared)).drop("block", "l_blocks", "r_blocks")
 
 
 def with_counts(companies: DataFrame, quotes: DataFrame, mentions: DataFrame, hosts: list[str]) -> DataFrame:
@@ -109,10 +136,8 @@ def anchor_edges(rows: DataFrame, aliases: DataFrame, blocks: DataFrame) -> Data
     anchors = keep_best(rows, ["component"], _strength()).select("id", "ord", "name", "component")
     keys = rows.groupBy("component").agg(F.array_sort(F.collect_set("market_key")).alias("keys"))
     anchors = anchors.join(keys, "component")
-    blocked = checkpointed(anchors.withColumn("blocks", blocking_keys(F.col("name"))))
-    a, b = (blocked.select(F.explode("blocks").alias("block"), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "ord", "name", "keys", "blocks")]) for p in ("l", "r"))
-    # A pair comes from the first block that it shares, so it comes once.
-    pairs = a.join(b, "block").where((F.col("l_ord") < F.col("r_ord")) & (F.col("block") == F.get(F.array_intersect("l_blocks", "r_blocks"), F.lit(0)))).drop("block", "l_blocks", "r_blocks")
+    blocked = checkpointed(with_blocks(anchors, "id"))
+    pairs = block_pairs(blocked, ["id", "ord", "name", "keys"], "ord")
     pairs = pairs.where((F.size("l_keys") == 0) | (F.size("r_keys") == 0) | (F.col("l_keys") == F.col("r_keys")))
     # An alias joins names that share no block.
     return compatible_pairs(pairs, "l_name", "r_name", aliases, blocks).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))

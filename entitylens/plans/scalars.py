@@ -189,12 +189,14 @@ def q42b(spark, d):
 
 @query("q53_name_compat")
 def q53(spark, d):
-    """Pairs of spellings of part names that share a block, and whether they are compatible."""
+    """Pairs of spellings of part names that are compatible, and by which rule."""
     from ..operators import resolution
     from .tables import companies
 
     rows = companies(spark, d).withColumn("name", F.initcap("name")).select("name").distinct()
-    b = rows.withColumn("block", F.explode(resolution.blocking_keys(F.col("name"))))
-    pairs = b.select("block", F.col("name").alias("l")).join(b.select("block", F.col("name").alias("r")), "block").where("l < r").select("l", "r").distinct()
-    k = text.company_key
-    return pairs.select("l", "r", S.decided_compatible(F.col("l"), F.col("r")).alias("by_rule"), (S.ratio(k(F.col("l")), k(F.col("r"))) >= S.SAME_NAME).alias("by_similarity"))
+    pairs = resolution.block_pairs(resolution.with_blocks(rows, "name"), ["name"], "name").toDF("l", "r")
+    a, b = text.company_key(F.col("l")), text.company_key(F.col("r"))
+    # The similarity is computed only where the lengths leave it a chance.
+    near = F.when(S.quick_bound(a, b) >= S.SAME_NAME, a)
+    made = pairs.where((a != "") & (b != "")).select("l", "r", S.decided_compatible(F.col("l"), F.col("r")).alias("by_rule"), F.coalesce(S.ratio(near, b) >= S.SAME_NAME, F.lit(False)).alias("by_similarity"))
+    return made.where("by_rule OR by_similarity")

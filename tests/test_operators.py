@@ -1,6 +1,8 @@
 """Relational, graph, extraction and coverage operators on hand-written cases."""
 
+import itertools
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,9 +103,28 @@ def test_blocking_loses_no_compatible_pair(spark):
     pairs = df.select(F.col("n").alias("l")).crossJoin(df.select(F.col("n").alias("r"))).where("l < r")
     key = lambda c: company_key(F.col(c))
     good = pairs.where((key("l") != "") & (key("r") != "") & (decided_compatible(F.col("l"), F.col("r")) | (ratio(key("l"), key("r")) >= SAME_NAME)))
-    blocked = df.withColumn("b", F.explode(resolution.blocking_keys(F.col("n"))))
-    near = blocked.select("b", F.col("n").alias("l")).join(blocked.select("b", F.col("n").alias("r")), "b").select("l", "r").distinct()
+    near = resolution.block_pairs(resolution.with_blocks(df.select(F.col("n").alias("name")), "name"), ["name"], "name").toDF("l", "r")
     assert good.count() > 50 and good.join(near, ["l", "r"], "left_anti").count() == 0
+    assert near.count() == near.distinct().count()
+
+
+def test_rare_strings_lose_no_similar_pair(spark):
+    """Misspelt long names, which only their three-letter strings bring together."""
+    r = random.Random(11)
+
+    def misspelt(x):
+        for _ in range(r.randint(1, 4)):
+            i = r.randrange(len(x))
+            x = r.choice([x[:i] + x[i + 1 :], x[:i] + r.choice("abn ") + x[i:], x[:i] + r.choice("abn") + x[i + 1 :]])
+        return x
+
+    plain = ["".join(r.choice("abnk") for _ in range(r.randint(4, 60))) for _ in range(40)]
+    names = sorted({m.strip() for x in plain for m in [x, *(misspelt(x) for _ in range(5))] if m.strip()})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    keys = [x.k for x in df.select(company_key(F.col("name")).alias("k"), "name").orderBy("name").collect()]
+    near = {(x.l_name, x.r_name) for x in resolution.block_pairs(resolution.with_blocks(df, "name"), ["name"], "name").collect()}
+    similar = {(a, b) for (a, x), (b, y) in itertools.combinations(zip(names, keys, strict=True), 2) if x and y and max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio()) >= SAME_NAME}
+    assert len(similar) > 100 and not similar - near
 
 
 def resolved(spark, companies, quotes=(), mentions_=(), aliases=(), blocks=()):
