@@ -1,6 +1,7 @@
 """Operator 9: quality rules as a short-circuit cascade.
 
-Every text gets base counts. Of the other rules, each is timed and tried on a bounded sample
+The base rule asks for few words first, then for repeated ones; a count is made when a rule
+first asks for it. Of the other rules, each is timed and tried on a bounded sample
 of the documents; they then run in descending order of rejection per cost, and a document
 leaves the cascade at its first rejection. The order never changes a verdict, only the time.
 
@@ -15,6 +16,8 @@ import re
 import time
 from collections import Counter
 from collections.abc import Callable
+from copy import copy
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,20 +37,34 @@ _LETTERS = bytes(sorted({*range(65, 91), *range(97, 123), *range(128, 256)}))
 
 
 class Text:
-    """A text, its UTF-8 bytes and words, and the base counts."""
+    """A text, its UTF-8 bytes and words, and counts that are made when first asked for."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
         self.raw = self.text.encode("utf-8", "surrogatepass")
         self.words = self.raw.split()
         self.n_words = len(self.words)
-        n_space = len(self.raw) - len(self.raw.translate(None, _SPACE_BYTES))
-        self.word_chars = len(self.text) - n_space
-        self.n_symbols = len(self.raw.translate(None, _NOT_SYMBOLS))
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - (len(self.raw) - len(self.raw.translate(None, _SPACE_BYTES)))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.raw.translate(None, _NOT_SYMBOLS))
+
+    @cached_property
+    def n_dup_lines(self) -> int:
         lines = [x for x in self.raw.split(b"\n") if not x.isspace() and x]
-        self.n_dup_lines = len(lines) - len(set(lines))
-        self.n_repeat_words = repeat_words(self.words)
-        self.base_failed = self.n_words < 50 or 100 * self.n_repeat_words > 50 * self.n_words
+        return len(lines) - len(set(lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeat_words(self.words)
+
+    @cached_property
+    def base_failed(self) -> bool:
+        return self.n_words < 50 or 100 * self.n_repeat_words > 50 * self.n_words
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -111,8 +128,9 @@ def order_rules(texts: list[str | None], rules: dict[str, Callable[[Text], bool]
         return list(rules)
     worth = {}
     for name, rule in rules.items():
+        fresh = [copy(x) for x in made]  # each rule pays for the counts that it asks for
         began = time.perf_counter()
-        rejected = sum(map(rule, made))
+        rejected = sum(map(rule, fresh))
         worth[name] = (1 + rejected) / (len(made) + 1) / max(1e-9, time.perf_counter() - began)
     return sorted(rules, key=lambda name: -worth[name])
 
