@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -21,6 +22,10 @@ import pyarrow.compute as pc
 
 #: Entries that a worker's cache may have (some 170 bytes each). Beyond it the older half, which has the frequent words, stays.
 CACHE_ENTRIES = 600_000
+#: Longer pieces (texts without spaces) are encoded each time, so that entries bound a cache's bytes too.
+KEPT_CHARACTERS = 64
+#: Bytes of texts that are cut at a time; a longer text goes by itself.
+SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
 
 #: Letters and a run of ASCII marks; an apostrophe may begin a piece with letters behind it.
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
@@ -40,7 +45,9 @@ class PieceCache(dict):
         self.letter_before = _SPACE_LETTER if before and not owner.drops_space else ""
 
     def __missing__(self, piece: str) -> bytes:
-        made = self[piece] = self._encode(piece)
+        made = self._encode(piece)
+        if len(piece) <= KEPT_CHARACTERS:
+            self[piece] = made
         return made
 
     def _encode(self, piece: str) -> bytes:
@@ -149,6 +156,17 @@ class WordCachedEncoder:
         return ids, np.concatenate([[0], ends[closes + 1]]).astype(np.int64)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and `size` bytes of the column; a row of more is a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(lengths, dtype=np.int64), 0
+    while at < batch.num_rows:
+        fitting = int(np.searchsorted(ends, ends[at] - lengths[at] + size, side="right")) - at
+        n = min(rows, max(1, fitting))
+        yield batch.slice(at, n)
+        at += n
+
+
 _ENCODERS: dict[str, WordCachedEncoder] = {}
 
 

@@ -16,33 +16,36 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, partitions, written
-from .encoding import encoder
+from .encoding import encoder, slices
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def cut(batch: pa.RecordBatch, vocabulary: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of a batch of (doc_id, text); texts are encoded some MB at a time, however many rows that is."""
+    for some in slices(batch):
+        out = ([], [], [], [], [])
+        flat, offsets = encoder(vocabulary).encode_column(some.column("text"), end_id)
+        view, at4 = memoryview(flat).cast("B"), (4 * offsets).tolist()
+        for doc, begin, end in zip(some.column("doc_id").to_pylist(), at4[:-1], at4[1:], strict=True):
+            for n, k in enumerate(range(0, end - begin, 4 * size)):
+                part = view[begin + k : min(begin + k + 4 * size, end)]
+                for column, x in zip(out, (doc, n, k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()  # else a worker keeps what its largest slice took
+
+
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFrame:
     """Encodes whole texts and cuts those longer than `size` ids into pieces; a digest stands for the ids."""
-
-    def cut(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, 2000):
-            some, out = batch.slice(at, 2000), ([], [], [], [], [])
-            flat, offsets = encoder(vocabulary).encode_column(some.column("text"), end_id)
-            view, at4 = memoryview(flat).cast("B"), (4 * offsets).tolist()
-            for doc, begin, end in zip(some.column("doc_id").to_pylist(), at4[:-1], at4[1:], strict=True):
-                for n, k in enumerate(range(0, end - begin, 4 * size)):
-                    part = view[begin + k : min(begin + k + 4 * size, end)]
-                    for column, x in zip(out, (doc, n, k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECE_SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda batch: cut(batch, vocabulary, end_id, size), PIECE_SCHEMA)
 
 
 class BestFit:

@@ -441,6 +441,37 @@ def test_packing(spark, docs, none, texts):
     assert not rows_of(packing.pack_documents(none, WORD))
 
 
+def test_packing_encodes_some_mb_at_a_time(monkeypatch):
+    r, seen, whole = random.Random(8), [], encoding.WordCachedEncoder.encode_column
+    made = [(i, None if i % 9 == 0 else " ".join(r.choices(["one", "two", "three", "four"], k=1 if i % 3 else 60_000))) for i in range(90)]
+    made.append((90, "five " * 1_200_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in made]), pa.array([t for _, t in made])], ["doc_id", "text"])
+
+    def spy(self, texts, end_id):
+        seen.append((len(texts), sum(len(t or "") for t in texts.to_pylist())))
+        return whole(self, texts, end_id)
+
+    monkeypatch.setattr(encoding.WordCachedEncoder, "encode_column", spy)
+    got = [x for part in packing.cut(batch, WORD, 1, 4096) for x in part.to_pylist()]
+    assert sum(n for n, _ in seen) == len(made) and len(seen) > 2
+    assert all(n == 1 or size <= encoding.SLICE_BYTES for n, size in seen)
+    library = Tokenizer.from_file(WORD)
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in made}
+    want = [(i, n, k, len(ids[i][k : k + 4096]), zlib.crc32(np.array(ids[i][k : k + 4096], "<u4").tobytes())) for i, _ in made for n, k in enumerate(range(0, len(ids[i]), 4096))]
+    assert [(x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in got] == want
+    assert not list(packing.cut(batch.slice(0, 0), WORD, 1, 4096))
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_keeps_no_long_pieces(path):
+    r, library, small = random.Random(9), Tokenizer.from_file(path), encoding.WordCachedEncoder(path)
+    made = ["".join(r.choices("abcdefgé,", k=3000)) + " word" for _ in range(40)]
+    ids, at = small.encode_column(pa.array(made), 7)
+    for text, a, b in zip(made, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 7]
+    assert max(map(len, [*small.bare, *small.spaced])) <= encoding.KEPT_CHARACTERS
+
+
 def test_best_fit_places_as_a_plain_list_does():
     r = random.Random(5)
     for size, most in ((10, 2), (64, 5), (512, 16)):
