@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import namedtuple
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +18,23 @@ from ..functions import dates, html, predicates, text, urls
 from ..functions import vocabulary as V
 from ..functions.udfs import arrow_udf
 from ..sources.rules import NameRules, SiteRules
+from .relational import dealt
 
 
 def editions(pages: DataFrame, site: SiteRules) -> DataFrame:
     """pages (url, html) -> editions (url, edition_id, title, date, article) whose title fits the site's pattern."""
-    title = html.page_title(F.col("html"))
-    made = pages.withColumn("title", title).where(predicates.is_target_title(F.col("title"), site.title_include, site.title_exclude))
+    # As a generated column the title is made once, and its filter stays behind whatever deals the pages out.
+    made = pages.select("url", "html", F.explode(F.array(html.page_title(F.col("html")))).alias("title")).where(predicates.is_target_title(F.col("title"), site.title_include, site.title_exclude))
     plain = F.lower("title").isin(site.generic_titles)
     shown = F.when(plain, F.coalesce(F.nullif(text.title_from_path(urls.url_path(F.col("url"))), F.lit("")), F.col("title"))).otherwise(F.col("title"))
     return made.select("url", urls.edition_id(F.col("url"), F.col("title")).alias("edition_id"), shown.alias("title"), F.coalesce(html.published_date(F.col("html")), F.lit("")).alias("date"), html.article(F.col("html")).alias("article"))
 
 
+#: What the state machine reads of a block.
+NODE = ("url", "edition_id", "ord", "tag", "text", "heading", "in_blockquote", "in_list_item", "name", "company_id", "listing", "probable", "sector_like", "listable", "sector_hint", "hint_listable", "speaker_line", "direct_quote", "quote", "speaker")
+Node = namedtuple("Node", NODE)
+
+
 def prepared_nodes(posts: DataFrame, site: SiteRules, names: NameRules) -> DataFrame:
     """A row for each block with all that the state machine asks of it; native, so that the machine itself only keeps state."""
     nodes = posts.select("url", "edition_id", F.inline(html.block_nodes("article")))
@@ -34,13 +44,13 @@ def prepared_nodes(posts: DataFrame, site: SiteRules, names: NameRules) -> DataF
     nodes = nodes.withColumn("listing", F.when(F.col("heading"), urls.canonical_listing(urls.absolute(F.col("href"), site.base_url), site.listing_hosts)))
     probable = predicates.is_probable_company(F.col("name"), F.col("listing").isNotNull(), names.exact_keys, names.patterns, names.allow_keys, site.own_titles)
     split = text.quote_and_speaker(F.col("text"))
-    return nodes.select(
-        "url", "edition_id", "ord", "tag", "text", "heading", F.coalesce("in_blockquote", F.lit(False)).alias("in_blockquote"), F.coalesce("in_list_item", F.lit(False)).alias("in_list_item"),
-        "name", text.slugify(F.col("name")).alias("company_id"), "hint", "listing", probable.alias("probable"),
-        predicates.is_sector_like(F.col("text")).alias("sector_like"), predicates.is_listable_sector(F.col("text")).alias("listable"),
-        F.when(predicates.is_sector_like(F.col("hint")), F.col("hint")).alias("sector_hint"), F.coalesce(predicates.is_listable_sector(F.col("hint")), F.lit(False)).alias("hint_listable"),
-        text.is_speaker_line(F.col("text")).alias("speaker_line"), text.is_direct_quote(F.col("text")).alias("direct_quote"), split["quote"].alias("quote"), split["speaker"].alias("speaker"),
-    )
+    made = {
+        "in_blockquote": F.coalesce("in_blockquote", F.lit(False)), "in_list_item": F.coalesce("in_list_item", F.lit(False)), "company_id": text.slugify(F.col("name")), "probable": probable,
+        "sector_like": predicates.is_sector_like(F.col("text")), "listable": predicates.is_listable_sector(F.col("text")),
+        "sector_hint": F.when(predicates.is_sector_like(F.col("hint")), F.col("hint")), "hint_listable": F.coalesce(predicates.is_listable_sector(F.col("hint")), F.lit(False)),
+        "speaker_line": text.is_speaker_line(F.col("text")), "direct_quote": text.is_direct_quote(F.col("text")), "quote": split["quote"], "speaker": split["speaker"],
+    }
+    return nodes.select(*[made.get(x, F.col(x)).alias(x) for x in NODE])
 
 
 _SPLITS = tuple(re.compile(p) for p in (r"^(.+?)\s+[–—-]\s+(.+)$", r'^(.+?[”"])\s*[–—-]\s*(.+)$'))
@@ -167,17 +177,28 @@ class PageReader:
 PARSED = {"url": "string", "edition_id": "string", "kind": "string", "ord": "int", "id": "string", "name": "string", "listing_url": "string", "company_id": "string", "sector": "string", "mention_type": "string", "text": "string", "context": "string", "speaker": "string"}
 
 
-def read_page(key, blocks: pd.DataFrame) -> pd.DataFrame:
-    reader = PageReader(*key)
-    for node in blocks.sort_values("ord").astype(object).where(lambda d: d.notna(), None).itertuples(index=False):
-        reader.read(node)
-    return pd.DataFrame(list(reader.rows()), columns=list(PARSED), dtype=object)
+def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks in the order of their pages, in batches that may end within a page, to the rows of the pages; one page's blocks are held at a time."""
+    schema = pa.schema([(k, {"string": pa.string(), "int": pa.int32()}[v]) for k, v in PARSED.items()])
+    made: list[dict] = []
+    nodes = (node for batch in batches for node in map(Node._make, zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+    for key, blocks in groupby(nodes, key=lambda n: (n.url, n.edition_id)):
+        reader = PageReader(*key)
+        for node in sorted(blocks, key=lambda n: n.ord):
+            reader.read(node)
+        made += reader.rows()
+        if len(made) >= 2000:
+            yield pa.RecordBatch.from_pylist(made, schema)
+            made = []
+    yield pa.RecordBatch.from_pylist(made, schema)
 
 
 def parse_posts(posts: DataFrame, site: SiteRules, names: NameRules) -> DataFrame:
     """Companies, quotes and mentions of each edition in one table, told apart by `kind`."""
     schema = ", ".join(f"{k} {v}" for k, v in PARSED.items())
-    return prepared_nodes(posts, site, names).groupBy("url", "edition_id").applyInPandas(read_page, schema)
+    # Pages that share an address are read as one, so they have to be neighbours; their blocks, which are made afterwards, then are.
+    posts = dealt(posts.select("url", "edition_id", "article"), "url", "edition_id").sortWithinPartitions("url", "edition_id", "article")
+    return prepared_nodes(posts, site, names).mapInArrow(read_pages, schema)
 
 
 def merged_tables(parsed: DataFrame) -> dict[str, DataFrame]:
