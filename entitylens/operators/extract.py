@@ -18,6 +18,7 @@ from ..functions import dates, html, predicates, text, urls
 from ..functions import vocabulary as V
 from ..functions.udfs import arrow_udf
 from ..sources.rules import NameRules, SiteRules
+from .graph import checkpointed
 from .relational import dealt
 
 
@@ -203,6 +204,7 @@ def parse_posts(posts: DataFrame, site: SiteRules, names: NameRules) -> DataFram
 
 def merged_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """Across posts, in the order of their URLs: the first company of an id wins, quotes and mentions add up (DED2, SET2)."""
+    parsed = checkpointed(parsed)  # read by three tables, parsed once
     first = Window.partitionBy("id").orderBy("url", "ord")
     companies = parsed.where("kind = 'company'").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     quotes = parsed.where("kind = 'quote'").select("id", "edition_id", "company_id", "sector", "text", "context", "speaker", F.col("url").alias("source_url"))
