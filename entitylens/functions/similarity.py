@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -25,6 +26,56 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def _edits(total: int, least: float) -> int:
+    """Letters that two texts of so many letters together may have unmatched, if their ratio is `least` or more; their parity is that of the total."""
+    most = int((1 - least) * total + 1e-6)
+    return most - (total - most) % 2
+
+
+def _partners(n: int, least: float) -> range:
+    """Lengths of the texts whose ratio with one of length n can be `least` or more."""
+    return range(max(1, math.ceil(n * least / (2 - least) - 1e-6)), int(n * (2 - least) / least + 1e-6) + 1)
+
+
+def part_keys(x: str, least: float) -> list[str]:
+    """For each length that a near text can have, x in one part more than letters may be unmatched: one part is whole in that text."""
+    made = []
+    for n in _partners(len(x), least):
+        parts = _edits(n + len(x), least) + 1
+        ends = [len(x) * i // parts for i in range(parts + 1)]
+        made += [f"{n}:{len(x)}:{i}:{x[ends[i] : ends[i + 1]]}" for i in range(parts)]
+    return made
+
+
+def place_keys(x: str, least: float) -> list[str]:
+    """The keys by which x meets the `part_keys` of every text whose ratio with it is `least` or more.
+
+    Some part i is whole with exactly i unmatched letters before it (counted part by part, the
+    sum of unmatched letters less i begins at 0, ends below it and falls by at most one), so it
+    stands at most i letters off, and no more off from the end than letters are left.
+    """
+    made = []
+    for n in _partners(len(x), least):
+        edits = _edits(n + len(x), least)
+        ends = [n * i // (edits + 1) for i in range(edits + 2)]
+        for i in range(edits + 1):
+            for off in range(-i, i + 1, 2):
+                at, end = ends[i] + off, ends[i + 1] + off
+                if at >= 0 and end <= len(x) and abs(len(x) - n - off) <= edits - i:
+                    made.append(f"{len(x)}:{n}:{i}:{x[at:end]}")
+    return list(dict.fromkeys(made))
+
+
+def near_keys(value: Column, least: float, parts: bool) -> Column:
+    """part_keys or place_keys of a column; none of a null or empty text."""
+    keys = part_keys if parts else place_keys
+
+    def made(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: keys(x, least) if x else [])
+
+    return F.pandas_udf(made, "array<string>")(value)
+
+
 def quick_bound(a: Column, b: Column) -> Column:
     """An upper bound of the ratio, from the lengths."""
     total = F.length(a) + F.length(b)
@@ -70,8 +121,12 @@ def match_features(t: Column, fp: Column, d: Column, s: Column, d_fp: Column, s_
     )
 
 
+#: Least ratios of names of several words and of one word that share no word with their match.
+NEAR_WORDS, NEAR_WORD = 0.88, 0.95
+
+
 def is_confident(f: Column, similarity: Column) -> Column:
-    return f["exact"] | ((f["overlap"] >= 1) & (similarity >= 0.63)) | ((f["n_tokens"] >= 2) & (similarity >= 0.88) & (f["prefix"] >= 2)) | ((f["n_tokens"] == 1) & (similarity >= 0.95) & (f["prefix"] >= 5))
+    return f["exact"] | ((f["overlap"] >= 1) & (similarity >= 0.63)) | ((f["n_tokens"] >= 2) & (similarity >= NEAR_WORDS) & (f["prefix"] >= 2)) | ((f["n_tokens"] == 1) & (similarity >= NEAR_WORD) & (f["prefix"] >= 5))
 
 
 def match_score(f: Column, exchange: Column, similarity_display: Column, similarity_slug: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text, urls
-from .relational import keep_best
+from .graph import checkpointed
+from .relational import dealt, keep_best
 
 LEAST_SCORE = 120
 
@@ -20,24 +21,34 @@ def name_hints(companies: DataFrame, hosts: list[str]) -> DataFrame:
     return rows.withColumn("is_name", F.col("_k") == F.lower("name")).drop("_k")
 
 
-def _blocks(fp: Column, tokens: Column) -> Column:
-    """Keys of which a confident pair shares one: a token, or the fingerprint's first two letters."""
-    return F.array_distinct(F.filter(F.concat(F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit("p:"), F.substring(fp, 1, 2)))), lambda k: F.length(k) > 2))
+def _blocks(tokens: Column, *joined: Column) -> Column:
+    """Keys of words and of joined words."""
+    keyed = F.filter(F.array(*joined), lambda x: x != "")
+    return F.array_distinct(F.concat(F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)), F.transform(keyed, lambda x: F.concat(F.lit("e:"), x))))
 
 
 def candidate_pairs(hints: DataFrame, candidates: DataFrame) -> DataFrame:
     """Pairs that share a block, with the words (_t, _d, _s) and joined words (_fp, _dfp, _sfp) of both sides, which are made once a row, not once a pair.
 
-    A confident match is exact, overlaps in a token, or shares two first letters, so none is
-    lost. A pair comes from the first block that it shares, so it comes once.
+    A confident match is exact, overlaps in a token, or is similar enough to share a part of
+    its joined words (`part_keys`), so none is lost; first letters alone would make blocks that
+    grow with the square of the table. A pair comes from the first word that it shares, and once
+    more for each shared part.
     """
     words = text.lookup_tokens
     left = hints.withColumn("_t", words(F.col("hint"))).withColumn("_fp", F.coalesce(F.nullif(F.array_join("_t", ""), F.lit("")), F.regexp_replace(F.lower("id"), "[^a-z0-9]+", "")))
-    left = left.withColumn("_lb", _blocks(F.col("_fp"), F.col("_t"))).withColumn("block", F.explode("_lb"))
     right = candidates.withColumn("_d", words(F.col("display_name"))).withColumn("_s", words(F.coalesce(F.col("slug"), F.lit(""))))
     right = right.withColumn("_dfp", F.array_join("_d", "")).withColumn("_sfp", F.array_join("_s", ""))
-    right = right.withColumn("_rb", F.array_distinct(F.concat(_blocks(F.col("_dfp"), F.col("_d")), _blocks(F.col("_sfp"), F.col("_s"))))).withColumn("block", F.explode("_rb"))
-    return left.join(right, "block").where(F.col("block") == F.get(F.array_intersect("_lb", "_rb"), F.lit(0))).drop("block", "_lb", "_rb")
+    # Small files, much work on a row.
+    left, right = dealt(left, "_fp"), dealt(right, "_dfp")
+    by_word = left.withColumn("_lb", _blocks(F.col("_t"), F.col("_fp"))).withColumn("block", F.explode("_lb"))
+    words_of = right.withColumn("_rb", _blocks(F.concat("_d", "_s"), F.col("_dfp"), F.col("_sfp"))).withColumn("block", F.explode("_rb"))
+    pairs = by_word.join(words_of, "block").where(F.col("block") == F.get(F.array_intersect("_lb", "_rb"), F.lit(0))).drop("block", "_lb", "_rb")
+    for some, least in ((F.size("_t") == 1, S.NEAR_WORD), (F.size("_t") >= 2, S.NEAR_WORDS)):
+        places = left.where(some).withColumn("block", F.explode(S.near_keys(F.col("_fp"), least, parts=False)))
+        parts = F.array_distinct(F.concat(S.near_keys(F.col("_dfp"), least, parts=True), S.near_keys(F.col("_sfp"), least, parts=True)))
+        pairs = pairs.unionByName(places.join(right.withColumn("block", F.explode(parts)), "block").drop("block"))
+    return pairs
 
 
 def best_listings(companies: DataFrame, candidates: DataFrame, hosts: list[str]) -> DataFrame:
@@ -82,6 +93,7 @@ def linked_companies(companies: DataFrame, candidates: DataFrame, overrides: Dat
 
 def link_audit(linked: DataFrame, overrides: DataFrame, mandatory: DataFrame) -> DataFrame:
     """Findings (finding, id, detail): overrides without a company, mandatory companies that are missing or linked elsewhere."""
+    linked = checkpointed(linked)  # read by three findings, linked once
     lost = overrides.join(linked, F.col("company_key") == F.col("id"), "left_anti").select(F.lit("override_without_company").alias("finding"), F.col("company_key").alias("id"), F.col("url").alias("detail"))
     m = mandatory.join(linked, F.col("company_key") == F.col("id"), "left")
     missing = m.where("id IS NULL").select(F.lit("mandatory_missing").alias("finding"), F.col("company_key").alias("id"), F.col("expected_url").alias("detail"))
