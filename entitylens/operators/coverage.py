@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..functions import similarity as S
 from ..functions import vocabulary as V
-from .relational import keep_best
+from .relational import dealt, keep_best
 
 
 def auto_acronyms(universe: DataFrame) -> DataFrame:
@@ -100,15 +100,19 @@ def edition_quarters(edition_symbols: DataFrame, eligible: DataFrame) -> DataFra
 
     edition_symbols: edition, ord, symbol. eligible: quarter, quarter_ord, symbol.
     """
-    votes = edition_symbols.join(eligible, "symbol").groupBy("edition", "quarter", "quarter_ord").agg(F.count("*").alias("votes"), F.min("ord").alias("first"))
+    # Hardly two votes of an edition meet before they are dealt out by it: sums made there would hold every row.
+    cast = dealt(edition_symbols.join(eligible, "symbol").select("edition", "quarter", "quarter_ord", "ord"), "edition", times=8)
+    votes = cast.groupBy("edition", "quarter", "quarter_ord").agg(F.count("*").alias("votes"), F.min("ord").alias("first"))
     return keep_best(votes, ["edition"], [F.desc("votes"), F.col("first"), F.col("quarter_ord")]).select("edition", "quarter", "votes")
 
 
 def first_coverage(edition_symbols: DataFrame, eligible: DataFrame) -> DataFrame:
     """(quarter, symbol, edition): the first edition by address, not by date, of each eligible symbol."""
     q = edition_quarters(edition_symbols, eligible).select("edition", "quarter")
-    rows = edition_symbols.join(q, "edition").join(eligible.select("quarter", "symbol").distinct(), ["quarter", "symbol"], "left_semi")
-    return rows.groupBy("quarter", "symbol").agg(F.min("edition").alias("edition"))
+    rows = dealt(edition_symbols.join(q, "edition").select("quarter", "symbol", "edition"), "quarter", "symbol", times=8)
+    # The first editions first: fewer rows are sorted for the join.
+    first = rows.groupBy("quarter", "symbol").agg(F.min("edition").alias("edition"))
+    return first.join(eligible.select("quarter", "symbol").distinct(), ["quarter", "symbol"], "left_semi")
 
 
 def window_coverage(edition_symbols: DataFrame, editions: DataFrame, begin: str, end: str) -> DataFrame:

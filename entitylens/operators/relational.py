@@ -13,10 +13,10 @@ def keep_best(df: DataFrame, by: list[str], order: list[Column], n: int = 1, ran
     return made.withColumnRenamed("_rank", rank) if rank else made.drop("_rank")
 
 
-def dealt(df: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt out by a key, some for every core. By number, as a few small files would else be read, and few bytes be exchanged, by few tasks, however slow the work on each row."""
+def dealt(df: DataFrame, *by: str, times: int = 4) -> DataFrame:
+    """Rows dealt out by a key, to so many tasks for every core. By number, as a few small files would else be read, and few bytes be exchanged, by few tasks, however slow the work on each row."""
     spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+    return df.repartition(max(times * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def top_n(df: DataFrame, order: list[Column], n: int, rank: str = "rank") -> DataFrame:

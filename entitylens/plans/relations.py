@@ -199,7 +199,7 @@ ELIGIBLE_SQL = "el AS (SELECT DISTINCT CASE o_custkey % 3 WHEN 0 THEN 'Q1' WHEN
 def _votes(spark, d):
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     el = l.where("l_returnflag = 'R'").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("Q"), (F.col("o_custkey") % 3 + 1).cast("string")).alias("quarter"), (F.col("o_custkey") % 3 + 1).cast("int").alias("quarter_ord"), F.col("l_partkey").alias("symbol")).distinct()
-    es = l.groupBy(F.col("l_orderkey").alias("edition"), F.col("l_partkey").alias("symbol")).agg(F.min("l_linenumber").alias("ord"))
+    es = relational.dealt(l.select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey", times=8).groupBy(F.col("l_orderkey").alias("edition"), F.col("l_partkey").alias("symbol")).agg(F.min("l_linenumber").alias("ord"))
     return es, el
 
 
