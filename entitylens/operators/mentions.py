@@ -42,17 +42,24 @@ def unique_aliases(aliases: DataFrame, overrides: DataFrame) -> DataFrame:
     return owners.join(o, "alias", "left").where(F.when(F.col("_owner").isNotNull(), F.col("_owner") == F.col("company_id")).otherwise(F.col("_n") == 1)).select("company_id", "alias")
 
 
+MOST_FIRST_WORDS = 64
+
+
 def phrase_hits(stories: DataFrame, aliases: DataFrame, story_id: str = "story_id", column: str = "text") -> DataFrame:
     """(story, company_id, alias, at, n_words) of every place where an alias stands."""
     lengths = [r.n for r in aliases.select(F.size(F.split("alias", " ")).alias("n")).distinct().collect()]
+    # Few first words leave few places to look at; with many, every place is a row.
+    firsts = [r.w for r in aliases.select(F.split_part("alias", F.lit(" "), F.lit(1)).alias("w")).distinct().limit(MOST_FIRST_WORDS + 1).collect()]
+    few = F.array(*map(F.lit, firsts)) if 0 < len(firsts) <= MOST_FIRST_WORDS else None
     keyed = aliases.withColumn("n_words", F.size(F.split("alias", " ")))
     words = stories.select(story_id, F.filter(F.split(text.phrase_key(F.col(column)), " "), lambda w: w != "").alias("w"))
 
     def runs(n: int) -> DataFrame:
         last = F.size("w") - n + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        made = F.col("w") if n == 1 else F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
-        return words.select(story_id, F.posexplode(made).alias("at", "alias"))
+        starts = starts if few is None else F.filter(starts, lambda i: F.array_contains(few, F.element_at("w", i)))
+        made = F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("alias")))
+        return words.select(story_id, F.inline(made))
 
     grams = reduce(DataFrame.unionByName, map(runs, sorted(lengths))) if lengths else None
     if grams is None:
@@ -65,12 +72,13 @@ def _greedy_count(spans: pd.Series) -> pd.Series:
     """Of (order, at, n_words) in their order: how many do not overlap one taken before."""
 
     def count(xs) -> int:
-        taken: list[tuple[int, int]] = []
+        n, taken = 0, set()  # places of words
         for x in sorted(xs, key=lambda x: (x["o"], x["a"], x["at"])):
-            a, b = x["at"], x["at"] + x["n"]
-            if all(b <= c or a >= d for c, d in taken):
-                taken.append((a, b))
-        return len(taken)
+            span = range(x["at"], x["at"] + x["n"])
+            if taken.isdisjoint(span):
+                taken.update(span)
+                n += 1
+        return n
 
     return spans.map(count)
 
