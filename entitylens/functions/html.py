@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import iso_date
 from .text import collapse
-from .udfs import arrow_udf
+from .udfs import sliced_udf
 
 NODES = "array<struct<ord:int,tag:string,text:string,href:string,in_blockquote:boolean,in_list_item:boolean>>"
 
@@ -140,16 +139,16 @@ def read_blocks(html: str | None, stories: bool = False) -> list[dict]:
     return reader.found
 
 
-@arrow_udf(NODES)
-def block_nodes(html: pd.Series) -> pd.Series:
+@sliced_udf(NODES)
+def block_nodes(html: str | None) -> list[dict]:
     """Headings and paragraphs of an article; a blockquote's start and end end a block."""
-    return html.map(read_blocks)
+    return read_blocks(html)
 
 
-@arrow_udf(NODES)
-def story_nodes(html: pd.Series) -> pd.Series:
+@sliced_udf(NODES)
+def story_nodes(html: str | None) -> list[dict]:
     """As block_nodes, without scripts and styles; the end of a list item ends a block."""
-    return html.map(lambda x: read_blocks(x, stories=True))
+    return read_blocks(html, stories=True)
 
 
 class _HeadingReader(HTMLParser):
@@ -182,15 +181,15 @@ def read_headings(html: str | None, tags: tuple[str, ...]) -> list[str]:
     return reader.found
 
 
-@arrow_udf("array<string>")
-def article_headings(html: pd.Series) -> pd.Series:
+@sliced_udf("array<string>")
+def article_headings(html: str | None) -> list[str]:
     """h2 and h3 inside the article."""
-    return html.map(lambda x: read_headings(x, ("h2", "h3")))
+    return read_headings(html, ("h2", "h3"))
 
 
-@arrow_udf("array<string>")
-def article_h2(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: read_headings(x, ("h2",)))
+@sliced_udf("array<string>")
+def article_h2(html: str | None) -> list[str]:
+    return read_headings(html, ("h2",))
 
 
 def presentation_headings(html: Column) -> Column:
@@ -225,11 +224,8 @@ class _TextEvents(HTMLParser):
         self.found.append((data, False))
 
 
-@arrow_udf("array<struct<ord:int,text:string,is_link:boolean>>")
-def text_events(html: pd.Series) -> pd.Series:
-    def read(x):
-        reader = _TextEvents()
-        reader.feed(x or "")
-        return [{"ord": i, "text": t, "is_link": link} for i, (t, link) in enumerate(reader.found)]
-
-    return html.map(read)
+@sliced_udf("array<struct<ord:int,text:string,is_link:boolean>>")
+def text_events(html: str | None) -> list[dict]:
+    reader = _TextEvents()
+    reader.feed(html or "")
+    return [{"ord": i, "text": t, "is_link": link} for i, (t, link) in enumerate(reader.found)]

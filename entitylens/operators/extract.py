@@ -9,14 +9,13 @@ from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, html, predicates, text, urls
 from ..functions import vocabulary as V
-from ..functions.udfs import arrow_udf
+from ..functions.udfs import sliced_udf
 from ..sources.rules import NameRules, SiteRules
 from .graph import checkpointed
 from .relational import dealt
@@ -40,16 +39,19 @@ def prepared_nodes(posts: DataFrame, site: SiteRules, names: NameRules) -> DataF
     """A row for each block with all that the state machine asks of it; native, so that the machine itself only keeps state."""
     nodes = posts.select("url", "edition_id", F.inline(html.block_nodes("article")))
     parts = text.heading_parts(F.col("text"))
-    nodes = nodes.withColumn("heading", F.col("tag") != "p").withColumn("name", F.when(F.col("heading"), parts["name"]).otherwise(text.company_name(F.col("text"))))
+    # Names are read of headings and list items, sectors of headings, speakers and quotes of paragraphs; most blocks are long paragraphs.
+    nodes = nodes.withColumn("heading", F.col("tag") != "p").withColumn("name", F.when(F.col("heading"), parts["name"]).when(F.col("in_list_item"), text.company_name(F.col("text"))))
+    nodes = nodes.withColumn("direct_quote", F.when(~F.col("heading"), text.is_direct_quote(F.col("text"))))
     nodes = nodes.withColumn("hint", F.when(F.col("heading"), parts["hint"]))
     nodes = nodes.withColumn("listing", F.when(F.col("heading"), urls.canonical_listing(urls.absolute(F.col("href"), site.base_url), site.listing_hosts)))
     probable = predicates.is_probable_company(F.col("name"), F.col("listing").isNotNull(), names.exact_keys, names.patterns, names.allow_keys, site.own_titles)
-    split = text.quote_and_speaker(F.col("text"))
+    split = F.when(F.col("direct_quote"), text.quote_and_speaker(F.col("text")))
+    of_heading = lambda x: F.when(F.col("heading"), x)
     made = {
-        "in_blockquote": F.coalesce("in_blockquote", F.lit(False)), "in_list_item": F.coalesce("in_list_item", F.lit(False)), "company_id": text.slugify(F.col("name")), "probable": probable,
-        "sector_like": predicates.is_sector_like(F.col("text")), "listable": predicates.is_listable_sector(F.col("text")),
+        "in_blockquote": F.coalesce("in_blockquote", F.lit(False)), "in_list_item": F.coalesce("in_list_item", F.lit(False)), "company_id": text.slugify(F.col("name")), "probable": F.when(F.col("name").isNotNull(), probable),
+        "sector_like": of_heading(predicates.is_sector_like(F.col("text"))), "listable": of_heading(predicates.is_listable_sector(F.col("text"))),
         "sector_hint": F.when(predicates.is_sector_like(F.col("hint")), F.col("hint")), "hint_listable": F.coalesce(predicates.is_listable_sector(F.col("hint")), F.lit(False)),
-        "speaker_line": text.is_speaker_line(F.col("text")), "direct_quote": text.is_direct_quote(F.col("text")), "quote": split["quote"], "speaker": split["speaker"],
+        "speaker_line": F.when(~F.col("heading"), text.is_speaker_line(F.col("text"))), "quote": split["quote"], "speaker": split["speaker"],
     }
     return nodes.select(*[made.get(x, F.col(x)).alias(x) for x in NODE])
 
@@ -304,9 +306,9 @@ def stories(nodes: list[dict], post_title: str, path: str) -> list[dict]:
     return out
 
 
-@arrow_udf("array<struct<story_id:string,title:string,position:int,source:string,text:string>>")
-def page_stories(nodes: pd.Series, title: pd.Series, path: pd.Series) -> pd.Series:
-    return pd.Series([stories(list(n), t or "", p or "") for n, t, p in zip(nodes, title, path, strict=True)])
+@sliced_udf("array<struct<story_id:string,title:string,position:int,source:string,text:string>>")
+def page_stories(nodes: list[dict] | None, title: str | None, path: str | None) -> list[dict]:
+    return stories(nodes or [], title or "", path or "")
 
 
 def parse_story_posts(pages: DataFrame) -> DataFrame:
