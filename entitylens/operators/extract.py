@@ -341,7 +341,8 @@ def story_rows(posts: DataFrame, default_title: str = "Story") -> DataFrame:
 
 def feed_editions(pages: DataFrame, headings, keep_empty: bool) -> DataFrame:
     """url, title, date, companies: one row for each edition of a feed."""
-    made = pages.select("url", F.coalesce(html.tag_text(F.col("html"), "title"), F.lit("")).alias("title"), html.tracker_date(F.col("html")).alias("date"), headings(F.col("html")).alias("companies"))
+    # A generated column, as in `editions`: else the filter would read every page once more, before pages are dealt out.
+    made = pages.select("url", F.coalesce(html.tag_text(F.col("html"), "title"), F.lit("")).alias("title"), html.tracker_date(F.col("html")).alias("date"), F.explode(F.array(headings(F.col("html")))).alias("companies"))
     return made if keep_empty else made.where(F.size("companies") > 0)
 
 
